@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -11,13 +13,13 @@ import numpy as np
 REMEMBERED = 600_000
 
 
-class _Memory(dict):
-    """Ids of pieces; ``extra`` has those of the present batch that found no room."""
+#: Single words whose lower case and composed form are single words too.
+_PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
-    extra: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.extra[piece]
+#: Marks a text's first piece, which has no leading space. A text that holds this character is encoded
+#: as a whole.
+_HEAD = "\0"
 
 
 class Encoder:
@@ -35,35 +37,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.heads, self.tails = _Memory(), _Memory()
+        self.memory: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        #: Ids that end a word, or that begin with a space; either tells words in a text apart.
+        self.ends = self._marked(words, lambda w: w.endswith("</w>"))
+        self.starts = self._marked(words, lambda w: w.startswith("\u0120")) if self.ends is None else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _remember(self, memory: _Memory, pieces: set[str], lead: str) -> None:
-        safe = [p for p in pieces if p not in memory and p and not p[-1].isspace()]
-        found = zip(safe, self._whole([lead + p for p in safe]), strict=True)
-        if len(memory) + len(safe) <= REMEMBERED:
-            memory.update(found)
-            memory.extra = {}
-        else:
-            memory.extra = dict(found)
+        return [array("I", e.ids).tobytes() for e in found]  # 4 bytes each, as on all machines Spark runs on
+
+    @staticmethod
+    def _marked(words: dict[str, int], test) -> np.ndarray | None:
+        flags = np.zeros(max(words.values()) + 1, bool)
+        flags[[i for w, i in words.items() if test(w)]] = True
+        return flags if flags.sum() > 1000 else None
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, each with a leading space: encoded in one text and told apart there."""
+        if not words or self.ends is None and self.starts is None:
+            return self._whole([" " + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.starts[ids]) if self.ends is None else np.flatnonzero(self.ends[ids]) + 1
+        cuts = [*(cuts * 4).tolist(), 4 * len(ids)] if self.ends is None else [0, *(cuts * 4).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[0] or cuts[-1] != 4 * len(ids):
+            return self._whole([" " + w for w in words])
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces met for the first time. Those that end in white space have none."""
+        safe = [p for p in pieces if p not in ("", _HEAD) and not p[-1].isspace()]
+        plain = [p for p in safe if _PLAIN.fullmatch(p)]
+        rest = [p for p in safe if not _PLAIN.fullmatch(p)]
+        found = dict(zip(plain, self._words(plain), strict=True))
+        found.update(zip(rest, self._whole([p[1:] if p[0] == _HEAD else " " + p for p in rest]), strict=True))
+        if len(self.memory) + len(found) <= REMEMBERED:
+            self.memory.update(found)
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        self._remember(self.heads, {s[0] for s in split}, "")
-        tails: set[str] = set()
-        for s in split:
-            tails.update(s[1:])
-        self._remember(self.tails, tails, " ")
+        known = self.memory.get
+        split = [(_HEAD + t).split(" ") if _HEAD not in t else [""] for t in texts]
+        rows = [list(map(known, s)) for s in split]
+        new = self._new({p for s, r in zip(split, rows, strict=True) if None in r for p, v in zip(s, r, strict=True) if v is None})
         out = []
-        for text, s in zip(texts, split, strict=True):
-            try:
-                data = self.heads[s[0]] + b"".join(map(self.tails.__getitem__, s[1:]))
-            except KeyError:
+        for text, s, r in zip(texts, split, rows, strict=True):
+            if None in r:
+                r = [new.get(p) if v is None else v for p, v in zip(s, r, strict=True)]
+            if None in r:
                 data = self._whole([text])[0] if text else b""
+            else:
+                data = b"".join(r)
             out.append(np.frombuffer(data, dtype="<u4"))
         return out
 
