@@ -10,7 +10,7 @@ import numpy as np
 
 #: Pieces remembered at most, the first ones met. Some 250 bytes each. Later ones are encoded anew
 #: for each batch of texts.
-REMEMBERED = 600_000
+REMEMBERED = 1_300_000
 
 
 #: Single words whose lower case and composed form are single words too.
