@@ -61,19 +61,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     prior = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(PLACES, np.float32), float(np.log(prior / (1 - prior))))
-    flat = np.concatenate(rows)
-    sizes = np.array([len(r) for r in rows])
-    toxic = np.repeat(y, sizes)
-    p = np.bincount(flat, toxic, PLACES)
-    q = np.bincount(flat, 1 - toxic, PLACES)
-    texts = p + q
+    p, q = np.zeros(PLACES), np.zeros(PLACES)
+    for r, toxic in zip(rows, y, strict=True):  # a text's features are distinct
+        (p if toxic else q)[r] += 1
     ratio = np.log((p + 1) / (p.sum() + PLACES)) - np.log((q + 1) / (q.sum() + PLACES))
-    used = (texts >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    ratio[~used] = 0
-    kept = used[flat]
-    text = np.repeat(np.arange(len(rows)), sizes)[kept]
-    names, column = np.unique(flat[kept], return_inverse=True)
-    value = ratio[names][column]
+    used = (p + q >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    names = np.flatnonzero(used)
+    place = np.zeros(PLACES, np.int32)
+    place[names] = np.arange(len(names))
+    kept = [place[r[used[r]]] for r in rows]
+    text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
+    column = np.concatenate(kept)
+    value = ratio[names].astype(np.float32)[column]
     # gradient steps with momentum, each feature's step shortened by its weight in the sample
     coef, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     size = np.bincount(column, value * value, len(names)) / len(y)
@@ -118,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = texts.join(F.broadcast(known), "id").mapInArrow(run, "id long, y int, f binary").collect()
     rows.sort(key=lambda r: (r["id"], r["f"]))
-    return fit([np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], np.float64))
+    return fit([np.frombuffer(r["f"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
