@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.tokens import forget
+
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE = KINDS[:3]
 #: What parts a candidate of a sort needs nearby.
@@ -111,6 +113,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(rows):
+        forget()
         for batch in rows:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)
@@ -147,6 +150,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         docs = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(rows):
+        forget()
         for batch in rows:
             texts = pa.array([redact_text(t, mark) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns)]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.shared import written
+from barwright.llm.tokens import forget
 
 WORDS = 4
 SEED = 42
@@ -55,6 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(rows):
+        forget()
         for batch in rows:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)

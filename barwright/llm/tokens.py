@@ -10,7 +10,7 @@ import numpy as np
 
 #: Pieces remembered at most, the first ones met. Some 250 bytes each. Later ones are encoded anew
 #: for each batch of texts.
-REMEMBERED = 1_300_000
+REMEMBERED = 800_000
 
 
 #: Single words whose lower case and composed form are single words too.
@@ -104,6 +104,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Gives back the memory of a worker that turns from encoding to other work."""
+    _encoders.clear()
+
+
 def default_path(name: str) -> str:
     """Where the public vocabulary file lies."""
     import public_tokenizers

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.tokens import forget
+
 ORDERS = (3, 4, 5)
 PLACES = 1 << 18
 #: Labelled rows to learn from, at most: those with the least hash of their doc_id.
@@ -109,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
 
     def run(rows):
+        forget()
         for batch in rows:
             for i in range(0, len(batch), 256):
                 some = batch.slice(i, 256)
@@ -124,6 +127,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row; a null text is empty. Only the text matters."""
 
     def run(rows):
+        forget()
         for batch in rows:
             for i in range(0, len(batch), 512):
                 some = batch.slice(i, 512)
@@ -138,6 +142,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     at = docs.columns.index("text")
 
     def run(rows):
+        forget()
         for batch in rows:
             kept = [model.score(f) < threshold for f in features(batch.column(at).cast(pa.string()).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
