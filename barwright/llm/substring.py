@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwright.llm.shared import written
 
@@ -48,55 +50,91 @@ def runs(found: list[tuple[int, int, int, int]], least: int) -> list[tuple[int,
     return out
 
 
-def repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id and spans (start, end) of every doc_id that has a removed run.
+def places(docs: DataFrame, rank: str | None = None) -> DataFrame:
+    """doc_id and nrs: for each document the units (by number) that an earlier document has.
 
-    Occurrences rank by ``rank`` (a column; doc_id if none), then doc_id, then place. A null or
-    empty text has no unit. Rows that repeat a doc_id are taken as one text each, under one doc_id:
-    a unit of the later row repeats the earlier's, so give distinct doc_ids. Rows without a doc_id
-    take no part. Other columns are ignored.
+    Only a text's first unit of a digest is sent out, as digest, document and number; that later
+    ones in the same text repeat it is plain in the text itself. The join's rows are written before
+    they are gathered by document, so that a very common digest can be dealt to many tasks.
     """
+    by = "doc_id" if rank is None else "rank"
 
     def run(rows):
         for batch in rows:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)
-                made = [(d, r, n, *u) for d, t, r in zip(*(c.to_pylist() for c in some.columns), strict=True) for n, u in enumerate(units(t))]
-                doc, rank_, nr, start, end, words, digest = zip(*made, strict=True) if made else ((),) * 7
+                docs_, ranks, nrs, digests = [], [], [], []
+                for d, t, r in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    first = {}
+                    for nr, (*_, digest) in enumerate(units(t)):
+                        first.setdefault(digest, nr)
+                    docs_ += [d] * len(first)
+                    ranks += [r] * len(first)
+                    nrs += first.values()
+                    digests += first
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(rank_, pa.int64()), pa.array(nr, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(digest, pa.binary())],
-                    names=["doc_id", "rank", "nr", "start", "end", "words", "digest"],
+                    [pa.array(docs_, pa.int64()), pa.array(ranks, pa.int64()), pa.array(nrs, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "rank", "nr", "d1", "d2"]
                 )
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col(rank or "doc_id").cast("long"), F.lit(2**62)).alias("rank"))
-    made = rows.mapInArrow(run, "doc_id long, rank long, nr int, start int, end int, words int, digest binary")
-    made = written(made, "units")
-    first = made.groupBy("digest").agg(F.min(F.struct("rank", "doc_id", "nr")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = made.join(first, "digest").where(F.struct("rank", "doc_id", "nr") > F.col("first"))
-    each = later.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nr", "start", "end", "words"))).alias("found"))
+    made = rows.mapInArrow(run, "doc_id long, rank long, nr int, d1 long, d2 long")
+    made = written(made.drop("rank") if rank is None else made, "units")
+    if rank is None:
+        first = made.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        later = F.col("doc_id") > F.col("first")
+    else:
+        first = made.groupBy("d1", "d2").agg(F.min(F.struct(by, "doc_id")).alias("first"), F.count("*").alias("n"))
+        later = F.struct(by, "doc_id") > F.col("first")
+    found = written(made.join(first.where("n > 1").drop("n"), ["d1", "d2"]).where(later).select("doc_id", "nr"), "units-later")
+    return found.groupBy("doc_id").agg(F.collect_list("nr").alias("nrs"))
+
+
+def spans_of(text: str | None, later: list[int], least: int) -> list[tuple[int, int]]:
+    """Runs to remove from a text, given the units that earlier documents have."""
+    found = units(text)
+    gone = {found[nr][3] for nr in later}
+    seen, repeated = set(), []
+    for nr, (start, end, words, digest) in enumerate(found):
+        if digest in gone or digest in seen:
+            repeated.append((nr, start, end, words))
+        seen.add(digest)
+    return runs(repeated, least)
+
 
-    def join_up(batches):
-        for batch in batches:
-            spans = [[{"start": s, "end": e} for s, e in runs([(x["nr"], x["start"], x["end"], x["words"]) for x in found], least)] for found in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+def without_repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
+    """All rows and columns, with removed runs cut from ``text``, and their spans in the original
+    text as column ``removed`` (empty if none).
 
-    return each.mapInArrow(join_up, "doc_id long, spans array<struct<start:int,end:int>>").where("size(spans) > 0")
+    Documents rank by ``rank`` (a column, null last; doc_id if none), then doc_id; places in a text
+    follow. Null and empty texts have no unit. Rows that repeat a doc_id are one document: they are
+    repeats of others, not of each other. A row without a doc_id is compared with itself only.
+    """
+    nrs = places(docs, rank).select(F.col("doc_id").alias("_units_doc"), F.col("nrs").alias("_units_nrs"))
+    at, n = docs.columns.index("text"), len(docs.columns)
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(nrs, docs["doc_id"] == nrs["_units_doc"], "left")
+    joined = joined.select(*[joined[c] for c in docs.columns], F.col("_units_nrs"))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def run(rows):
+        for batch in rows:
+            for i in range(0, len(batch), 1024):
+                some = batch.slice(i, 1024)
+                texts, removed = some.column(at).to_pylist(), []
+                for j, later in enumerate(some.column(n).to_pylist()):
+                    found = spans_of(texts[j], later or [], least)
+                    removed.append([{"start": s, "end": e} for s, e in found])
+                    for s, e in reversed(found):
+                        texts[j] = texts[j][:s] + texts[j][e:]
+                columns = [pa.array(texts, some.schema.field(at).type) if k == at else some.column(k) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], names=[*some.schema.names[:n], "removed"])
 
-def cut(text, spans):
-    """Column: ``text`` without ``spans`` (sorted, apart; null: none)."""
-    spans = F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
-    first = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    walked = F.aggregate(spans, first, lambda a, s: F.struct(F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at")))
-    return F.concat(walked["kept"], F.substring(text, walked["at"] + 1, F.length(text)))
+    schema = T.StructType([*joined.schema.fields[:n], T.StructField("removed", spans)])
+    return joined.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns, with removed runs cut from ``text``, and their spans in the original
-    text as column ``removed`` (empty if none)."""
-    found = repeats(docs, rank, least).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    out = docs.join(found, docs["doc_id"] == found["_doc"], "left")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    columns = [F.when(F.col("_spans").isNull(), docs["text"]).otherwise(cut(docs["text"], F.col("_spans"))).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return out.select(*columns, F.coalesce("_spans", empty).alias("removed"))
+def repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id and spans (start, end) of every row that has a removed run."""
+    out = without_repeats(docs.select("doc_id", "text", *([rank] if rank and rank not in ("doc_id", "text") else [])), rank, least)
+    return out.select("doc_id", F.col("removed").alias("spans")).where("size(spans) > 0")
