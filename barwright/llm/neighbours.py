@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import written
+from barwright.llm.shared import in_batches, written
 
 #: On 64-dimensional unit vectors, most without near neighbours, these find over 0.9 of the true 20
 #: in tables of 500 to 50,000 rows (measured 0.94 to 0.99).
@@ -165,7 +165,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, part: int = PAR
     index = groups.select(F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "gid", "v")
     asked = groups.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "gid", "v")
     dealt = index.union(asked).repartition(parts, "part").sortWithinPartitions("part", "asks", "gid")
-    found = dealt.mapInArrow(run, "qid long, gid long, score double")
+    found = in_batches(dealt).mapInArrow(run, "qid long, gid long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "gid")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     found = found.join(groups.select("gid", "members"), "gid").select("qid", "score", F.explode("members").alias("vec_id"))

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import in_larger_parts
-from barwright.llm.tokens import batches, encoder
+from barwright.llm.shared import in_batches, in_larger_parts
+from barwright.llm.tokens import batches, encoder, give_back
 
 #: Tokens that are packed together, about: what a task holds at once. A group leaves one or two
 #: windows open, so this many keep padding well under a thousandth.
@@ -95,6 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
     def run(rows):
         from pyspark import TaskContext
 
+        give_back()
         tok, base = encoder(tokenizer), TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
@@ -147,4 +148,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             yield from close()
 
     rows = in_larger_parts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.mapInArrow(run, _PIECES)
+    return in_batches(rows).mapInArrow(run, _PIECES)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.shared import in_batches
 from barwright.llm.tokens import forget
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -123,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return in_batches(rows).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def joined(spans: Column) -> Column:
@@ -156,4 +157,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, which is to go to Python in batches of ``rows`` whole texts at most, not of Spark's
+    default 10,000: both sides hold some batches at a time. A setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI that every executor reaches. ``s3a`` means ``s3``."""
     from pyarrow import fs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import written
+from barwright.llm.shared import in_batches, written
 from barwright.llm.tokens import forget
 
 WORDS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(t) for t in some.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame
 
     # a group's number: two keys with one hash would only be joined for nothing, never linked wrongly
     spread = dealt.select("fp", "id", F.xxhash64("key").alias("grp"), "side").repartition("grp")
-    return spread.mapInArrow(run, "u long, v long").where("u < v").distinct()
+    return in_batches(spread).mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

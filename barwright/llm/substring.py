@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwright.llm.shared import written
+from barwright.llm.shared import in_batches, written
 
 LEAST_WORDS = 25
 #: A unit ends after a line feed, or after white space behind the end of a sentence.
@@ -78,7 +78,7 @@ def places(docs: DataFrame, rank: str | None = None) -> DataFrame:
                 )
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col(rank or "doc_id").cast("long"), F.lit(2**62)).alias("rank"))
-    made = rows.mapInArrow(run, "doc_id long, rank long, nr int, d1 long, d2 long")
+    made = in_batches(rows).mapInArrow(run, "doc_id long, rank long, nr int, d1 long, d2 long")
     made = written(made.drop("rank") if rank is None else made, "units")
     if rank is None:
         first = made.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -131,7 +131,7 @@ def without_repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], names=[*some.schema.names[:n], "removed"])
 
     schema = T.StructType([*joined.schema.fields[:n], T.StructField("removed", spans)])
-    return joined.mapInArrow(run, schema)
+    return in_batches(joined).mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:

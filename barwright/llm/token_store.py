@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import range_codec
-from barwright.llm.shared import filesystem, put_file, workspace, written
+from barwright.llm.shared import filesystem, in_batches, put_file, workspace, written
 from barwright.llm.tokens import batches, encoder
 
 _MAGIC = b"ACM1"
@@ -115,7 +115,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | No
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(rows.mapInArrow(encode, _LISTED), "ids-files")
+    return written(in_batches(rows).mapInArrow(encode, _LISTED), "ids-files")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -146,4 +146,4 @@ def read_ids(files: DataFrame) -> DataFrame:
                         }
                     )
 
-    return placed.select("path", "n_bytes", "base").repartition(n).mapInArrow(decode, "doc_id long, start long, n_ids long, ids binary")
+    return in_batches(placed.select("path", "n_bytes", "base").repartition(n)).mapInArrow(decode, "doc_id long, start long, n_ids long, ids binary")

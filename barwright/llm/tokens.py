@@ -8,9 +8,9 @@ from array import array
 
 import numpy as np
 
-#: Pieces remembered at most, the first ones met. Some 250 bytes each. Later ones are encoded anew
-#: for each batch of texts.
-REMEMBERED = 800_000
+#: Pieces remembered at most, the first ones met; some 150 bytes each. Later ones are encoded anew
+#: for each batch of texts. Just under what doubles Python's table.
+REMEMBERED = 690_000
 
 
 #: Single words whose lower case and composed form are single words too.
@@ -39,13 +39,15 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.memory: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
+        #: Ids are kept in two bytes each where they fit.
+        self.code, self.kind = ("H", np.uint16) if max(words.values()) < 1 << 16 else ("I", np.uint32)
         #: Ids that end a word, or that begin with a space; either tells words in a text apart.
         self.ends = self._marked(words, lambda w: w.endswith("</w>"))
         self.starts = self._marked(words, lambda w: w.startswith("\u0120")) if self.ends is None else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]  # 4 bytes each, as on all machines Spark runs on
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     @staticmethod
     def _marked(words: dict[str, int], test) -> np.ndarray | None:
@@ -57,10 +59,11 @@ class Encoder:
         """Ids of plain words, each with a leading space: encoded in one text and told apart there."""
         if not words or self.ends is None and self.starts is None:
             return self._whole([" " + w for w in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        width = ids.itemsize
         cuts = np.flatnonzero(self.starts[ids]) if self.ends is None else np.flatnonzero(self.ends[ids]) + 1
-        cuts = [*(cuts * 4).tolist(), 4 * len(ids)] if self.ends is None else [0, *(cuts * 4).tolist()]
-        if len(cuts) != len(words) + 1 or cuts[0] or cuts[-1] != 4 * len(ids):
+        cuts = [*(cuts * width).tolist(), width * len(ids)] if self.ends is None else [0, *(cuts * width).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[0] or cuts[-1] != width * len(ids):
             return self._whole([" " + w for w in words])
         data = ids.tobytes()
         return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
@@ -90,7 +93,7 @@ class Encoder:
                 data = self._whole([text])[0] if text else b""
             else:
                 data = b"".join(r)
-            out.append(np.frombuffer(data, dtype="<u4"))
+            out.append(np.frombuffer(data, dtype=self.kind).astype("<u4"))
         return out
 
 
@@ -107,6 +110,19 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Gives back the memory of a worker that turns from encoding to other work."""
     _encoders.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what earlier tasks freed to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def default_path(name: str) -> str:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.shared import in_batches
 from barwright.llm.tokens import forget
 
 ORDERS = (3, 4, 5)
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found = [f.astype("<i4").tobytes() for f in features(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found, pa.binary())], names=["id", "y", "f"])
 
-    rows = texts.join(F.broadcast(known), "id").mapInArrow(run, "id long, y int, f binary").collect()
+    rows = in_batches(texts.join(F.broadcast(known), "id")).mapInArrow(run, "id long, y int, f binary").collect()
     rows.sort(key=lambda r: (r["id"], r["f"]))
     return fit([np.frombuffer(r["f"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.float64))
 
@@ -134,7 +135,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores = [model.score(f) for f in features(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -147,4 +148,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
             kept = [model.score(f) < threshold for f in features(batch.column(at).cast(pa.string()).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

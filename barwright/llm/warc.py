@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import filesystem, put_file, workspace, written
+from barwright.llm.shared import filesystem, in_batches, put_file, workspace, written
 
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -224,7 +224,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
         if held:
             yield close()
 
-    return written(rows.mapInArrow(run, "path string, n_bytes long, n_records long"), "warc-files")
+    return written(in_batches(rows).mapInArrow(run, "path string, n_bytes long, n_records long"), "warc-files")
 
 
 def _page(uri: str) -> int | None:
@@ -262,7 +262,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
                         yield _batch(made, payload)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payload else "")
-    return files.select("path", "n_bytes").repartition(n).mapInArrow(run, schema)
+    return in_batches(files.select("path", "n_bytes").repartition(n)).mapInArrow(run, schema)
 
 
 def _batch(made: list[tuple], payload: bool) -> pa.RecordBatch:
