@@ -158,7 +158,7 @@ def yearly_days_of(dates: DataFrame, name: str = "date") -> DataFrame:
     dates in a year, 365 at most."""
     days = dates.select(F.col(name).cast("date").alias("d")).distinct()
     years = days.groupBy(F.year("d").alias("y")).agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("b"))
-    return years.agg(F.when(F.datediff(F.max("b"), F.min("a")) < 365, 252).otherwise(F.least(F.max("n"), F.lit(365))).cast("int").alias("yearly_days"))
+    return years.agg(F.when(F.datediff(F.max("b"), F.min("a")) < 365, 252).when(F.max("n").isNotNull(), F.least(F.max("n"), F.lit(365))).cast("int").alias("yearly_days"))
 
 
 def infer_yearly_days(dates: DataFrame, name: str = "date") -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,17 @@ def normalise(df: DataFrame, digits: int = 2, check: bool = True) -> DataFrame:
     return out
 
 
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Also files with nanosecond times, as pandas writes them; Spark reads those as whole numbers."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "NANOS" not in str(e):
+            raise
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.parquet(path).withColumn("dt", F.timestamp_micros(F.floor(F.col("dt") / 1000)).cast("timestamp_ntz"))
+
+
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """A weight table from a CSV (with header), Parquet, or Feather/Arrow file, by its extension."""
     kind = os.path.splitext(path)[1].lower()
@@ -55,7 +67,7 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
         schema = ", ".join(f"`{c}` {dict(x.split(' ') for x in CSV.split(', ')).get(c, 'string')}" for c in header)
         return spark.read.schema(schema).option("header", True).csv(path)
     if kind == ".parquet":
-        return spark.read.parquet(path)
+        return _parquet(spark, path)
     if kind in (".feather", ".arrow", ".ipc"):
         from pyarrow import feather
 
