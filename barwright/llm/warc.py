@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.shared import filesystem, in_batches, put_file, workspace, written
+from barwright.llm.tokens import forget
 
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of compressed records in a package, and of one range request, about.
-PACKAGE_BYTES, REQUEST_BYTES = 32 << 20, 4 << 20
+PACKAGE_BYTES, REQUEST_BYTES = 8 << 20, 1 << 20
 _ID = "urn:barwright:page:"
 
 
@@ -202,6 +203,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     rows = rows.select("page_id", "url", "payload", "sha1", F.when(revisits, F.col("first")).alias("refers_to"))
 
     def run(batches):
+        forget()
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
@@ -239,6 +241,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
     n = max(1, files.count())  # a row for each package
 
     def run(batches):
+        forget()
         for batch in batches:
             for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = filesystem(path)
