@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing, exact reranking.
 
-Vectors are scaled into the unit ball and given one more coordinate that makes them unit vectors;
-the largest inner product is then the least Euclidean distance, which p-stable (Gaussian)
+Rows are dealt into ranges by norm, so that a few long vectors do not crowd the others together.
+Vectors of a range are scaled into the unit ball and given one more coordinate that makes them unit
+vectors; the largest inner product is then the least Euclidean distance, which p-stable (Gaussian)
 projections keep. Each of ``TABLES`` tables hashes a vector to ``FUNCTIONS`` intervals of width
 ``WIDTH``. A query visits, in each table, its own bucket and those reached by moving single values
 to a neighbouring interval, in the order of the squared distances to the crossed edges (the order of
 estimated success), ``PROBES`` in all. Candidates of all tables are merged and reranked by their
 exact inner products.
 
+The probes are enough for a query and a range if a row as good as the query's k-th candidate would
+have been met in one of the buckets with probability ``SUCCESS`` at least, which the offsets of the
+query and the Gaussian law give. Where they are not, or where a query has under k candidates, the
+rest of the range is scanned exactly, unless its norms are too small to matter.
+
 Rows with equal vectors are one entry of the index, with the least ids of its members: no result
 needs more of them than it returns, and one of them more for the query itself.
 """
@@ -24,9 +30,11 @@ from pyspark.sql import functions as F
 
 from barwright.llm.shared import in_batches, written
 
-#: On 64-dimensional unit vectors, most without near neighbours, these find over 0.9 of the true 20
-#: in tables of 500 to 50,000 rows (measured 0.94 to 0.99).
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 8, 8, 2.0, 190, 20
+#: Least probability that a row as good as the k-th candidate is among the candidates.
+SUCCESS = 0.95
+#: Ranges of norms: so many to a doubling. Ranges of fewer rows than ``FEW`` have no tables; all their rows are candidates.
+RANGES, FEW = 4, 64
 #: Rows of a part of the index.
 PART = 20_000
 #: Parts into which the members of a group of equal vectors are ranked first.
@@ -34,75 +42,126 @@ SALT = 64
 
 #: Moves of up to four values; the likeliest ``PROBES`` hardly ever move more.
 _MOVES = np.array([m for m in itertools.product((0, -1, 1), repeat=FUNCTIONS) if sum(map(abs, m)) <= 4], np.int64)
+_GRID = np.linspace(-9, 9, 18_001)
+_GRID_VALUES = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
 _RADIX = 257 ** np.arange(FUNCTIONS - 1, -1, -1, dtype=np.int64)
 
 
 class Hashes:
     """The tables' functions; the same for the same dimension and seed."""
 
-    def __init__(self, dim: int, scale: float, seed: int = SEED):
+    def __init__(self, dim: int, seed: int = SEED):
         draw = np.random.default_rng(seed)
         self.a = draw.normal(size=(TABLES, dim + 1, FUNCTIONS))
         self.b = draw.uniform(0, WIDTH, size=(TABLES, 1, FUNCTIONS))
-        self.scale = scale
 
-    def _places(self, x: np.ndarray, query: bool) -> np.ndarray:
-        if query:
+    def _places(self, x: np.ndarray, scale: float | None = None) -> np.ndarray:
+        """Of queries, if no ``scale``."""
+        if scale is None:
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             more = np.zeros((len(x), 1))
         else:
-            unit = x / self.scale
+            unit = x / scale
             more = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(1, keepdims=True)))
         return (np.concatenate((unit, more), axis=1) @ self.a + self.b) / WIDTH
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """Bucket of each vector in each table."""
-        return (np.floor(self._places(x, False)).astype(np.int64) + 128) @ _RADIX
+    def codes(self, x: np.ndarray, scale: float) -> np.ndarray:
+        """Bucket of each vector, of norm ``scale`` at most, in each table."""
+        return (np.floor(self._places(x, scale)).astype(np.int64) + 128) @ _RADIX
 
-    def probes(self, x: np.ndarray, count: int = PROBES) -> np.ndarray:
-        """Buckets to visit for each query in each table, likeliest first."""
-        places = self._places(x, True)
+    def probes(self, x: np.ndarray, count: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets to visit for each query in each table, likeliest first; the numbers of their
+        moves; and the places of the query within its own intervals."""
+        places = self._places(x)
         base = np.floor(places)
         below = (places - base) ** 2
         above = (1 - places + base) ** 2
         cost = below @ (_MOVES == -1).T + above @ (_MOVES == 1).T
         first = np.argpartition(cost, count, axis=2)[..., :count]
         first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, 2), axis=2, kind="stable"), 2)
-        return ((base.astype(np.int64) + 128) @ _RADIX)[..., None] + (_MOVES @ _RADIX)[first]
+        return ((base.astype(np.int64) + 128) @ _RADIX)[..., None] + (_MOVES @ _RADIX)[first], first, places - base
 
 
-class Part:
-    """Some rows of the index, in memory."""
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function."""
+    return np.interp(x, _GRID, _GRID_VALUES)
 
-    def __init__(self, hashes: Hashes, ids: np.ndarray, vectors: np.ndarray):
-        self.hashes, self.ids, self.vectors = hashes, ids, vectors
-        self.tables = [np.unique(code, return_inverse=True) for code in hashes.codes(vectors)]
+
+def success(offsets: np.ndarray, moves: np.ndarray, distance: float) -> float:
+    """Probability that a row at a distance from one query is in one of the buckets it visits.
+    ``offsets``: (table, function), ``moves``: (table, probe). The differences of the projections
+    are normal, with the distance as deviation."""
+    edges = (np.arange(-1, 3)[:, None, None] - offsets) * (WIDTH / max(distance, 1e-9))
+    chance = np.log(np.maximum(np.diff(_normal(edges), axis=0), 1e-30))
+    every = sum(chance[m + 1] @ (_MOVES == m).T for m in (-1, 0, 1))
+    met = np.exp(np.take_along_axis(every, moves, 1)).sum(axis=1)
+    return 1 - float(np.prod(1 - np.minimum(met, 1.0)))
+
+
+class Range:
+    """Rows of a part whose norms are alike: their numbers, and the tables if they are many."""
+
+    def __init__(self, hashes: Hashes, rows: np.ndarray, vectors: np.ndarray, norm: float):
+        self.rows, self.norm = rows, norm
+        self.tables = [np.unique(code, return_inverse=True) for code in hashes.codes(vectors[rows], norm)] if len(rows) >= FEW else []
 
     def candidates(self, probes: np.ndarray) -> np.ndarray:
         """Whether each row is in one of the buckets that one query visits."""
-        hit = np.zeros(len(self.ids), bool)
-        for (names, bucket), codes in zip(self.tables, probes, strict=True):
+        hit = np.full(len(self.rows), not self.tables)
+        for (names, bucket), codes in zip(self.tables, probes, strict=False):
             at = np.minimum(np.searchsorted(names, codes), len(names) - 1)
             visited = np.zeros(len(names), bool)
             visited[at[names[at] == codes]] = True
             hit |= visited[bucket]
         return hit
 
+
+class Part:
+    """Some rows of the index, in memory."""
+
+    def __init__(self, hashes: Hashes, ids: np.ndarray, vectors: np.ndarray):
+        self.hashes, self.ids, self.vectors = hashes, ids, vectors
+        norms = np.linalg.norm(vectors, axis=1)
+        kind = np.floor(np.log2(norms / norms.max()) * RANGES + 0.5)
+        self.ranges = [Range(hashes, rows, vectors, norms[rows].max()) for rows in (np.flatnonzero(kind == x) for x in np.unique(kind)[::-1])]
+        self.scans = 0
+
     def nearest(self, queries: np.ndarray, k: int):
         """Ids and scores of the best ``k`` candidates of each query. A block of queries is
         multiplied with all rows at once, which is faster than gathering candidates; only the
-        candidates' products are looked at."""
-        probes = self.hashes.probes(queries)
+        products of candidates, and of ranges to be scanned, are looked at."""
+        probes, moves, offsets = self.hashes.probes(queries)
         products = queries @ self.vectors.T
         for j, query in enumerate(queries):
-            rows = np.flatnonzero(self.candidates(probes[:, j]))
+            length = np.linalg.norm(query)
+            hits, least = [], -math.inf
+            for r in self.ranges:  # the longest first; no product is over that of the norms
+                if r.norm * length * (1 + 1e-9) < least:
+                    break
+                hits.append(r.candidates(probes[:, j]))
+                least = self._least(products[j], hits, k)
+            for i, hit in enumerate(hits):
+                r = self.ranges[i]
+                if hit.all() or r.norm * length * (1 + 1e-9) < least:
+                    continue
+                if least > -math.inf:
+                    distance = math.sqrt(max(0.0, 2 - 2 * least / (r.norm * length)))
+                    if success(offsets[:, j, :], moves[:, j, :], distance) >= SUCCESS:
+                        continue
+                hit[:] = True
+                self.scans += 1
+                least = self._least(products[j], hits, k)
+            rows = np.concatenate([r.rows[hit] for r, hit in zip(self.ranges, hits, strict=False)])
             scores = products[j, rows]
-            if len(rows) > k:  # all rows as good as the k-th stay
-                least = np.partition(scores, len(rows) - k)[len(rows) - k]
-                rows, scores = rows[scores >= least], scores[scores >= least]
+            rows, scores = rows[scores >= least], scores[scores >= least]  # all rows as good as the k-th stay
             order = np.lexsort((self.ids[rows], -scores))[:k]
             yield self.ids[rows[order]], (self.vectors[rows[order]] * query).sum(axis=1)
 
+    def _least(self, products: np.ndarray, hits: list[np.ndarray], k: int) -> float:
+        """The k-th best product of the candidates; minus infinity if they are fewer."""
+        scores = np.concatenate([products[r.rows[hit]] for r, hit in zip(self.ranges, hits, strict=False)])
+        return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -math.inf
+
 
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v) without repeated rows: vectors of finite numbers, not all zero, as long as the
@@ -130,12 +189,12 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, part: int = PAR
     is_query = F.col("vec_id") % every == 0
     groups = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("gid"), F.max(is_query).alias("asks"), F.first("v").alias("v"))
     groups = written(groups.join(members, ["k1", "k2"]), "nn-groups")
-    total = groups.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("dim")).first()
-    n, norm, dim = total["n"], total["norm"] or 1.0, total["dim"] or 1
+    total = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n, dim = total["n"], total["dim"] or 1
     parts = max(1, -(-n // part))
 
     def run(batches):
-        hashes, at, built = Hashes(dim, norm), None, None
+        hashes, at, built = Hashes(dim), None, None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             p, asks, gid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asks", "gid"))

@@ -107,3 +107,22 @@ def test_few_and_no_vectors(spark):
     got = neighbours.nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])])).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)][0] == (0, 1, 2, 1.0)
     assert neighbours.nearest(vectors(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["lognormal norms", "one long row", "384 dimensions"])
+def test_recall_on_other_norms_and_dimensions(kind):
+    draw = np.random.default_rng(1)
+    v = draw.normal(size=(3000, 384 if kind == "384 dimensions" else 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "lognormal norms":
+        v *= draw.lognormal(0, 1, (len(v), 1))
+    if kind == "one long row":
+        v[777] *= 1000
+    part = neighbours.Part(neighbours.Hashes(v.shape[1]), np.arange(len(v)), v)
+    asked = range(0, len(v), 50)
+    found = 0
+    for i, (ids, _) in zip(asked, part.nearest(v[asked], 21), strict=True):
+        own = [x for x in ids if x != i][:20]
+        assert len(own) == 20
+        found += len({*own} & {x for x in np.argsort(-(v @ v[i]))[:21] if x != i})
+    assert found >= 0.95 * 20 * len(asked)
