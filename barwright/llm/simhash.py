@@ -213,24 +213,25 @@ def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame
     return in_batches(spread).mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id of an edge (u, v).
 
-    Least labels pass along edges, and each label is followed to its own label, until none changes.
-    Each round is written to the shared folder.
+    Least labels pass along edges, a smaller label also goes to the root of the old one and so to
+    all that have it, and each label is followed to its own label, until none changes. Regions
+    merge whole, so the rounds grow with the logarithm of a chain's length. Each round is written
+    to the shared folder.
     """
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-edges")
     labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "component-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        further = labels.select(F.col("id").alias("label"), F.col("label").alias("on"))
-        jumped = stepped.join(further, "label").select("id", "was", F.least("label", "on").alias("label"))
-        after = written(jumped, "component-labels")
+        stepped = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "component-steps")
+        hooked = stepped.where("label < was").groupBy(F.col("was").alias("id")).agg(F.min("label").alias("hook"))
+        further = labels.join(hooked, "id", "left").select(F.col("id").alias("was"), F.least("label", "hook").alias("on"))
+        after = written(stepped.join(further, "was").select("id", "was", F.least("label", "on").alias("label")), "component-labels")
         if not after.where("label <> was").limit(1).count():
             return after.select("id", F.col("label").alias("component"))
         labels = after.select("id", "label")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -168,6 +168,18 @@ def test_links_against_all_pairs(spark, group):
     assert [found.get(i, i) for i in range(len(fps))] == plain_components(range(len(fps)), fps)
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Label passing alone needs over 60 rounds here."""
+    rounds = []
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: rounds.append(name) or written(df, name))
+    ids = np.random.default_rng(0).permutation(400).tolist()
+    edges = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])] + [(1000, 1001)], "u long, v long")
+    got = {r.id: r.component for r in simhash.components(edges).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 1000: 1000, 1001: 1000}
+    assert rounds.count("component-labels") <= 12
+
+
 # repeated passages
 
 
