@@ -3,8 +3,8 @@
 A text's units are its lines, and the sentences of lines that have several. A unit is normalised
 (lower case, white space runs as one space) and hashed to 128 bits. Of each digest the earliest
 occurrence (least rank, then place) is kept; a later one is a repeat. Repeats that follow each other
-in a text form a run, and a run of at least ``LEAST_WORDS`` words is removed: common short sentences
-alone are no passage, and stay. Runs keep their code-point offsets in the original text.
+in a text form a run, and every run is removed, however short. A caller may keep runs of under
+``least`` words. Runs keep their code-point offsets in the original text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from barwright.llm.shared import in_batches, written
 
-LEAST_WORDS = 25
+#: Every unit has a word: nothing that is repeated stays.
+LEAST_WORDS = 1
 #: A unit ends after a line feed, or after white space behind the end of a sentence.
 _UNIT = re.compile(r"[^\n]*?(?:[.!?][\"')\]]*[ \t]+|\n|\Z)", re.S)
 

@@ -219,6 +219,23 @@ def test_repeats_corner_cases(documents, hard_rows):
     assert substring.without_repeats(documents([])).count() == 0
 
 
+def test_short_repeats_and_passages_cut_at_both_ends(documents):
+    draw = np.random.default_rng(6)
+    words = ["".join(draw.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    sentence = lambda at, n: " ".join(words[at : at + n]) + ". "
+    passage = " ".join(words[:20]) + ". " + sentence(20, 12) + sentence(40, 10) + " ".join(words[60:75])  # 57 words
+    rows = [
+        (0, "Some start " + passage + " and its end.", "en", "a"),
+        (1, "Quite another start " + passage + " with another end.", "en", "a"),
+        (2, "All rights reserved.\nfirst\n重复的一行没有空格\n", "en", "a"),
+        (3, "All rights reserved.\nsecond\n重复的一行没有空格\n", "en", "a"),
+    ]
+    got = {r.doc_id: r.text for r in substring.without_repeats(documents(rows)).collect()}
+    assert got[0] == rows[0][1] and got[2] == rows[2][1]
+    assert got[1] == "Quite another start " + " ".join(words[:20]) + ". " + " ".join(words[60:75]) + " with another end."
+    assert got[3] == "second\n"
+
+
 # mixing
 
 
