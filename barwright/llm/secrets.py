@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # as AKIA[A-Z0-9]+ of 16 or more: a r
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account(?:_?(?:id|name))?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.A | re.I)
 WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pwd|pass|passphrase|credentials?|bearer|auth|private_?key)["']?(?:\x20*[:=]\x20*["']?|\x20)[A-Za-z0-9+/_.=!@#$%^&*-]{4,}""", re.A | re.I)
-MIXED = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}")
+MIXED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")  # whole runs; counted only with all of ``_MIXTURE``
+_MIXTURE = (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]"))
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])|(?<![A-Za-z0-9@.-])(?:[a-z0-9-]+\.)+(?:com|net|org|io|dev|local|internal)(?::[0-9]{1,5})?(?![A-Za-z0-9])""", re.A)
 
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -83,6 +85,14 @@ def _joined(text: str, spans: list[Span], others: list[Span]) -> list[Span]:
     return out
 
 
+def _within(spans: list[Span], others: list[Span], gap: int) -> list[Span]:
+    """Those of ``spans`` with at most ``gap`` code points between them and one of ``others``; an
+    overlap counts as less than none."""
+    others = sorted(others)
+    starts, furthest = [s for s, *_ in others], list(accumulate((e for _, e, _ in others), max))
+    return [x for x in spans if (i := bisect_left(starts, x[1] + gap + 1)) and furthest[i - 1] >= x[0] - gap]
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a text (code points, end exclusive), by start, then kind as listed."""
     text = text or ""
@@ -93,10 +103,10 @@ def find(text: str | None) -> list[Span]:
     secrets = [x for x in base if x[2] != "access"]
     ids = [x for x in base if x[2] == "access"]
     weak_ids = [(*m.span(), "weak_id") for m in WEAK_ID.finditer(text)] if any(w in low for w in _ID_WORDS) else []
-    for s, e, _ in ids + weak_ids:  # a mixed string beside an identifier may be its secret
-        a, b = max(0, s - REACH), e + REACH
-        around = [(m.start() + a, m.end() + a, "weak_secret") for m in MIXED.finditer(text[a:b])]
-        weak_secrets += [x for x in around if x[1] < b and not any(x[0] < t and u < x[1] for u, t, _ in (*ids, *weak_ids))]
+    if who := ids + weak_ids:  # a mixed string beside an identifier may be its secret
+        mixed = [(*m.span(), "weak_secret") for m in MIXED.finditer(text) if all(c.search(m[0]) for c in _MIXTURE)]
+        beside, over = _within(mixed, who, REACH), set(_within(mixed, who, -1))
+        weak_secrets += [x for x in beside if x not in over]
     weak_secrets = [x for x in sorted(set(weak_secrets)) if not any(s < x[1] and x[0] < e for s, e, _ in secrets)]
     found = list(base)
     if secrets or weak_secrets:

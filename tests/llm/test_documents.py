@@ -55,6 +55,16 @@ def test_join_against_all_pairs():
         assert {a for a in spans if any(meet(a, b) for b in others)} == set(got)
 
 
+@pytest.mark.parametrize("n", [25, 100, 130, 5000])
+def test_mixed_strings_are_found_whole(n):
+    key = ("aB3dE6gH9k" * n)[:n]
+    for before, after in (("user=alice ", " x"), ("", " user=alice"), ("x " * 100, " user=alice " + "y " * 100)):
+        text = before + key + after
+        assert (len(before), len(before) + n, "weak_secret") in secrets.find(text)
+        assert key[:20] not in secrets.redact_text(text)
+    assert secrets.find("user=alice " + "x " * 61 + key) == secrets.find(key) == secrets.find("user=alice\n\n" + key) == []
+
+
 def test_redact_and_scan(spark, documents, hard_rows):
     rows = [*hard_rows, (50, "x token = abcdefgh1234 y", "en", "a")]
     df = documents(rows)
