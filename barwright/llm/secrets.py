@@ -110,7 +110,7 @@ def find(text: str | None) -> list[Span]:
     weak_secrets = [x for x in sorted(set(weak_secrets)) if not any(s < x[1] and x[0] < e for s, e, _ in secrets)]
     found = list(base)
     if secrets or weak_secrets:
-        endpoints = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "." in text else []
+        endpoints = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "." in text or "://" in text else []
         every = secrets + weak_secrets
         found += _joined(text, weak_ids, every) + _joined(text, endpoints, every)
         found += _joined(text, weak_secrets, ids + weak_ids + endpoints)

@@ -28,6 +28,7 @@ def test_base_spans_by_plain_rules():
         ("pwd=hunter2", []),
         ("db.example.com", []),
         ("https://db.example.com/x pwd=hunter2", ["endpoint", "weak_secret"]),
+        ("pwd=hunter2 redis://cache:6379/0", ["weak_secret", "endpoint"]),
         ("user=bob\n\npwd=hunter2", []),
         ("user=bob " + "x " * 200 + "pwd=hunter2", []),
         ("login: ann token = abcdefgh1234", ["weak_id", "assign"]),
