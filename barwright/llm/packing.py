@@ -131,19 +131,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             base += used + len(whole)
             held.clear()
 
-        end = np.array([end_id], "<u4")
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1)
-            for first in range(0, len(ids), 256):
-                some = [t or "" for t in texts.slice(first, 256).to_pylist()]
-                keys = ids.slice(first, 256).to_pylist()
-                for a, b in batches(some):
-                    for key, found in zip(keys[a:b], tok(some[a:b]), strict=True):
-                        held.append((key, np.concatenate((found, end))))
-                        size += len(found) + 1
-                    if size >= GROUP_TOKENS:
-                        yield from close()
-                        size = 0
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in batches(texts):
+                ids, counts = tok.encode(texts.slice(a, b - a))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids.astype("<u4"), ends, end_id)
+                held += zip(keys[a:b], np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]), strict=True)
+                size += len(ids)
+                if size >= GROUP_TOKENS:
+                    yield from close()
+                    size = 0
         if held:
             yield from close()
 

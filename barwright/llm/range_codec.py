@@ -1,18 +1,23 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks. Each block starts from an empty model, carries its own dictionary of
-distinct ids and a CRC-32, and is coded without regard to any other block. Within a block three
-predictions are mixed for each next id:
+Ids are cut into blocks. Each block starts from the same model, carries a CRC-32, and is coded
+without regard to any other block. What the blocks share is a prior: the ids that there are, with
+rough frequencies. The ``COMMON`` most frequent ids have an entry each in the model, the others one
+entry together, after which they are told apart by their frequencies in the prior.
 
-* order 0: frequencies of the block's ids so far, refreshed at fixed steps,
-* order 1: the id that last followed the previous id, with a confidence of 0 to 3,
-* order 2: the same for the previous two ids (hashed).
+Within a block three predictions are mixed for each next entry:
 
-The shares of the predictions are learnt while coding, one pair of shares for each pair of
-confidences, and the mixed shares and frequencies drive a 64-bit range coder with carries.
+* order 0: frequencies of the block's entries so far, added to those of the prior,
+* order 1: the entry that last followed the previous one, with a confidence of 0 to 3,
+* order 2: the same for the previous two (hashed).
+
+An entry's probability is the sum of what the three give it, each by its share, and it drives a
+64-bit range coder with carries. The shares, one pair for each pair of confidences, and the
+frequencies are learnt from the block as it is coded: both are brought up to date after 24 entries,
+and then whenever half as many more have been coded, to the block's end.
 
 Since blocks are independent, many are coded in step: element ``i`` of every array belongs to
-block ``i``, and each numpy call advances all blocks by a part of one id.
+block ``i``, and each numpy call advances all blocks by a part of one id. All numbers are integers.
 """
 
 from __future__ import annotations
@@ -22,224 +27,436 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block at most. A prediction and its confidence fit 16 bits.
+#: Ids in a block at most, and blocks coded in step.
 BLOCK = 4096
-LANES = 2048
-FREQ_BITS = 13
-SHARES = 128
-SHARE_SCALE = (SHARES - 4) << 8
+LANES = 4096
+#: Ids with an entry of their own, at most. An entry and its confidence fit 16 bits.
+COMMON = 511
+FREQ_BITS, SHARE_BITS = 12, 7
+TOTAL_BITS = FREQ_BITS + SHARE_BITS
 CONTEXTS = 2048
-REFRESH = (192, 960)
-_TOTAL_BITS = FREQ_BITS + 7
-_HEAD = struct.Struct("<4sIIII")  # magic, ids, distinct ids, bytes of dictionary, words of code
-_MAGIC = b"CMR1"
+#: Entries that the prior counts for, and sixteenths as the unit of counts.
+PRIOR, UNIT = 500, 16
+#: Entries of each block whose intervals are found at a time.
+ROWS = 64
+_HEAD = struct.Struct("<4sII")  # magic, ids, words of code
+_MAGIC = b"CMR2"
 
 
 class BlockError(ValueError):
     """A block's checksum or layout is wrong."""
 
 
+def _refreshes(steps: int) -> list[int]:
+    out, at = [], 24
+    while at < steps:
+        out.append(at)
+        at += at // 2
+    return out
+
+
+def _change() -> np.ndarray:
+    """What a confidence gains, by whether the prediction held and by the confidence."""
+    return np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int16)
+
+
+class Prior:
+    """The ids of a run of blocks, most frequent first, with rough frequencies."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray):
+        """``codes``: of each id, in ascending order; two bits of mantissa and a power of two."""
+        self.ids, self.codes = ids, codes
+        weight = (4 + (codes.astype(np.int64) & 3)) << (codes.astype(np.int64) >> 2)
+        order = np.argsort(-weight, kind="stable")
+        self.names, weight = ids[order], weight[order]
+        self.k = min(len(ids), COMMON + 1)
+        self.wide = max(self.k, 1)
+        #: The last entry stands for ids without an entry of their own.
+        self.rest = COMMON if len(ids) > COMMON + 1 else None
+        share = weight[: self.k].copy()
+        if self.rest is not None:
+            share[COMMON] = weight[COMMON:].sum()
+            rare = weight[COMMON:]
+            self.rare_bits = max(12, int(len(rare) - 1).bit_length() + 2)
+            size = 1 + rare * ((1 << self.rare_bits) - len(rare)) // int(rare.sum())
+            size[0] += (1 << self.rare_bits) - size.sum()
+            self.rare_size, self.rare_start = size.astype(np.uint64), (np.cumsum(size) - size).astype(np.uint64)
+        self.entries = np.maximum(1, share * (PRIOR * UNIT) // max(1, int(share.sum()))).astype(np.int32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        if len(ids) and int(ids.max()) >= 1 << 22:
+            found, counts = np.unique(ids, return_counts=True)
+        else:
+            counts = np.bincount(ids)
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        power = np.zeros(len(found), np.int64)
+        rest = counts.astype(np.int64)
+        for bits in (32, 16, 8, 4, 2, 1):  # the power of two at or below each count
+            high = rest >> bits > 0
+            power[high] += bits
+            rest[high] >>= bits
+        mantissa = (counts.astype(np.int64) << 2 >> power) & 3
+        return cls(found.astype(np.uint32), (power * 4 + mantissa).astype(np.uint8))
+
+    def pack(self) -> bytes:
+        body = np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4").tobytes()
+        planes = np.frombuffer(body, np.uint8).reshape(-1, 4).T.tobytes()
+        return struct.pack("<I", len(self.ids)) + zlib.compress(planes + self.codes.tobytes(), 9)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        (n,) = struct.unpack_from("<I", data)
+        body = zlib.decompress(data[4:])
+        steps = np.frombuffer(np.frombuffer(body, np.uint8, 4 * n).reshape(4, n).T.tobytes(), "<u4")
+        return cls(np.cumsum(steps, dtype=np.int64).astype(np.uint32), np.frombuffer(body, np.uint8, n, 4 * n))
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id among ``names``."""
+        order = np.argsort(self.names, kind="stable")
+        if len(self.ids) and int(self.ids[-1]) < 1 << 22:
+            table = np.zeros(int(self.ids[-1]) + 1, np.int32)
+            table[self.names] = np.arange(len(self.names))
+            return table[ids]
+        return order[np.searchsorted(self.ids, ids)].astype(np.int32)
+
+
 class _Model:
-    """The state of all blocks that are coded in step. Tables are narrow to stay in caches."""
+    """The state of all blocks that are coded in step."""
 
-    def __init__(self, distinct: np.ndarray, decoding: bool):
-        n, self.wide = len(distinct), int(distinct.max())
+    def __init__(self, prior: Prior, n: int):
+        self.n, self.k = n, prior.wide
+        self.prior = np.broadcast_to(prior.entries, (n, self.k)) if len(prior.ids) else np.ones((n, 1), np.int32)
         lane = np.arange(n, dtype=np.int64)
-        self.distinct, self.decoding = distinct.astype(np.int64), decoding
-        self.at1, self.at2, self.at_share, self.at_slot = lane * self.wide, lane * CONTEXTS, lane * 16, lane << FREQ_BITS
-        self.next1 = np.zeros(n * self.wide, np.int16)
-        self.next2 = np.zeros(n * CONTEXTS, np.int16)
-        self.share2 = np.full(n * 16, SHARE_SCALE >> 3, np.int32)
-        self.share1 = np.full(n * 16, SHARE_SCALE >> 3, np.int32)
-        self.counts = np.zeros((n, self.wide), np.int32)
-        self.a = np.zeros(n, np.int64)
-        self.b = np.zeros(n, np.int64)
-        self._tabulate(1)
-
-    def _tabulate(self, seen: int) -> None:
-        """Scales the counts to frequencies of at least 1 that add up to a power of two."""
-        spare = ((1 << FREQ_BITS) - self.distinct[:, None]).astype(np.int32)
-        freq = self.counts * spare // np.int32(seen)
-        freq += np.arange(self.wide, dtype=np.int32)[None, :] < self.distinct[:, None]
+        self.at1, self.at2, self.at_share = lane * self.k, n * self.k + lane * CONTEXTS, lane << 4
+        self.table = np.zeros(n * (self.k + CONTEXTS), np.int16)  # order 1, then order 2
+        self.where = np.zeros((2, n), np.int64)
+        self.b, self.older = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.counts = np.zeros(n * self.k, np.int32)
+        self.met = np.zeros((3, n * 16), np.int32)  # by confidences: entries, hits of order 2, of order 1 alone
+        self.change = _change()
+        self.refresh(0)
+
+    def refresh(self, step: int, x: np.ndarray | None = None, pair: np.ndarray | None = None, hit2: np.ndarray | None = None, hit1: np.ndarray | None = None, decoding: bool = False) -> None:
+        """Frequencies and shares after ``step`` entries. The arrays have a row for each entry since
+        the last time: entries, confidences, whether order 2 or (else) order 1 foretold them."""
+        if x is not None:
+            lane = np.arange(self.n, dtype=np.int64)
+            for first in range(0, len(x), 128):  # small parts stay in caches
+                part = slice(first, first + 128)
+                self.counts += np.bincount((x[part] + lane * self.k).reshape(-1), minlength=len(self.counts)).astype(np.int32)
+                places = (pair[part] + (lane << 4)).reshape(-1)
+                for row, only in zip(self.met, (None, hit2, hit1), strict=True):
+                    row += np.bincount(places if only is None else places[only[part].reshape(-1)], minlength=len(row)).astype(np.int32)
+        spare = (1 << FREQ_BITS) - self.k
+        scale = np.int32((spare << 15) // (step * UNIT + int(self.prior[0].sum())))
+        freq = self.counts.reshape(self.n, self.k) * np.int32(UNIT)
+        freq += self.prior
+        freq *= scale
+        freq >>= 15
+        freq += 1
         freq[:, 0] += (1 << FREQ_BITS) - freq.sum(axis=1, dtype=np.int32)
-        table = np.cumsum(freq, axis=1, dtype=np.int32)
-        table -= freq
-        table <<= 16
-        table |= freq
-        self.table = table.reshape(-1)  # start and frequency of each id
-        if self.decoding:
-            ids = np.broadcast_to(np.arange(self.wide, dtype=np.int16), freq.shape).reshape(-1)
-            self.slots = np.repeat(ids, freq.reshape(-1))
-
-    def refresh(self, done: np.ndarray, step: int) -> None:
-        """``done``: ids coded since the last refresh, a row for each step."""
-        flat = (done + self.at1[None, :]).reshape(-1)
-        self.counts += np.bincount(flat, minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
-        self._tabulate(step)
-
-    def predict(self) -> None:
-        self.i1 = self.at1 + self.b
-        self.i2 = self.at2 + (((self.a * 40503 + self.b * 30011) >> 3) & (CONTEXTS - 1))
-        self.e1, self.e2 = self.next1.take(self.i1), self.next2.take(self.i2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.s = self.at_share + ((self.c2 << 2) + self.c1)
-        self.q2, self.q1 = self.share2.take(self.s), self.share1.take(self.s)
-        w2, w1 = (self.q2 >> 8) + 1, (self.q1 >> 8) + 1
-        self.lead2 = w2 << FREQ_BITS
-        w2 += w1
-        self.w0 = SHARES - w2
-        self.lead = w2 << FREQ_BITS
-
-    def interval(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = self.table.take(self.at1 + x)
-        start = np.where(hit1, self.lead2, self.lead + self.w0 * (entry >> 16)) * ~hit2
-        size = np.where(hit2, self.lead2, np.where(hit1, self.lead - self.lead2, self.w0 * (entry & 0xFFFF)))
-        return start.astype(np.uint64), size.astype(np.uint64)
-
-    def learn(self, x: np.ndarray, same2: np.ndarray, same1: np.ndarray, hit1: np.ndarray) -> None:
-        fresh = (x << 2).astype(np.int16)
-        for table, at, e, c, same in ((self.next1, self.i1, self.e1, self.c1, same1), (self.next2, self.i2, self.e2, self.c2, same2)):
-            table[at] = np.where(same, np.minimum(e + 1, e | 3), np.where(c == 0, fresh, e - 1))
-        self.share2[self.s] = self.q2 + ((same2 * np.int32(SHARE_SCALE) - self.q2) >> 4)
-        self.share1[self.s] = self.q1 + ((hit1 * np.int32(SHARE_SCALE) - self.q1) >> 4)
-        self.a, self.b = self.b, x
-
-
-def _code(symbols: np.ndarray, distinct: np.ndarray) -> list[np.ndarray]:
-    """``symbols``: steps x blocks, indexes into each block's dictionary. The words of each block."""
+        start = np.cumsum(freq, axis=1, dtype=np.int32)
+        start -= freq
+        start <<= FREQ_BITS + 1
+        start |= freq
+        self.freq = start.reshape(-1)  # start and frequency of each entry
+        if decoding:
+            entries = np.broadcast_to(np.arange(self.k, dtype=np.int16), freq.shape).reshape(-1)
+            self.slots = np.repeat(entries, freq.reshape(-1))
+        met, hit2_, hit1_ = self.met
+        w2 = np.clip((10 * hit2_ + 3 << SHARE_BITS) // (10 * met + 30), 1, 108)
+        w1 = np.minimum(np.maximum((10 * hit1_ + 3 << SHARE_BITS) // (10 * met + 30), 1), 120 - w2)
+        self.shares = (w2 << 8 | w1).astype(np.int32)
+
+    def predict(self) -> np.ndarray:
+        """What orders 1 and 2 foretell: entry and confidence, a row for each order."""
+        np.add(self.at1, self.b, out=self.where[0])
+        mixed = self.b * 30011
+        mixed += self.older
+        mixed >>= 3
+        mixed &= CONTEXTS - 1
+        np.add(mixed, self.at2, out=self.where[1])
+        self.found = self.table[self.where]
+        return self.found
+
+    def learn(self, x: np.ndarray) -> None:
+        """``x``: the entry that came (16 bits)."""
+        e = self.found
+        key = (e >> 2) == x
+        key = key.view(np.int8) << 2
+        key = key | (e & 3).astype(np.int8)
+        new = ((x << 2) - e) * (key == 0)
+        new += e
+        new += self.change[key]
+        self.table[self.where] = new
+        np.multiply(self.b, 40503, out=self.older)
+        self.b[:] = x
+
+
+def _weights(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w2, w1 = shares >> 8, shares & 0xFF
+    return w2, w1, (1 << SHARE_BITS) - w2 - w1
+
+
+_FREQ = (1 << FREQ_BITS + 1) - 1
+
+
+def _intervals(model: _Model, x: np.ndarray, e1: np.ndarray, e2: np.ndarray):
+    """Start and size of entries ``x``, the pair of confidences, and which orders foretold them.
+
+    The entry that order 2 foretells comes first, then that of order 1, then all others in order;
+    each as wide as the three predictions together make it."""
+    pair = (e2 & 3) << 2 | (e1 & 3)
+    p1, p2 = e1 >> 2, e2 >> 2
+    w2, w1, w0 = _weights(model.shares[pair + model.at_share])
+    t, t1, t2 = model.freq[x + model.at1], model.freq[p1 + model.at1], model.freq[p2 + model.at1]
+    apart = p1 != p2
+    hit2, hit1 = x == p2, (x == p1) & apart
+    f2, f1 = t2 & _FREQ, (t1 & _FREQ) * apart
+    by2, by1 = w2 + w1 * ~apart << FREQ_BITS, w1 * apart << FREQ_BITS
+    c, c1, c2 = t >> FREQ_BITS + 1, t1 >> FREQ_BITS + 1, t2 >> FREQ_BITS + 1
+    c = c - f2 * (c2 < c) - f1 * (c1 < c)
+    start = (by2 + w0 * f2) * ~hit2 + (by1 + w0 * (f1 + c)) * ~(hit2 | hit1)
+    size = w0 * (t & _FREQ) + by2 * hit2 + by1 * hit1
+    return start, size, pair, hit2, hit1
+
+
+class _Writer:
+    """The range coders of all blocks, and the words that they have written."""
+
+    def __init__(self, n: int, steps: int):
+        self.words = np.zeros((n, steps * TOTAL_BITS // 64 + 2 * ROWS), np.uint32)
+        self.used = np.zeros(n, np.int64)
+        self.low = np.zeros(n, np.uint64)
+        self.width = np.full(n, 2**64 - 1, np.uint64)
+
+    def _carry(self, at: np.ndarray) -> None:
+        back = self.used[at] - 1
+        while len(at):
+            self.words[at, back] += np.uint32(1)
+            over = self.words[at, back] == 0
+            at, back = at[over], back[over] - 1
+
+    def make_room(self) -> None:
+        """For two words in each of the next ``ROWS`` steps."""
+        if self.used.max() + 2 * ROWS > self.words.shape[1]:
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
+
+    def _shift(self, at: np.ndarray) -> None:
+        self.words[at, self.used[at]] = (self.low[at] >> np.uint64(32)).astype(np.uint32)
+        self.used[at] += 1
+        self.low[at] <<= np.uint64(32)
+        self.width[at] <<= np.uint64(32)
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        """An entry of every block."""
+        unit = self.width >> np.uint64(TOTAL_BITS)
+        start = start * unit
+        start += self.low
+        carried = start < self.low
+        self.low = start
+        self.width = size * unit
+        if carried.any():
+            self._carry(np.flatnonzero(carried))
+        short = np.flatnonzero(self.width < np.uint64(1 << 32))
+        if len(short):
+            self._shift(short)
+
+    def put_rare(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """The rest of a rare id, of some blocks."""
+        unit = self.width[at] >> np.uint64(bits)
+        moved = self.low[at] + start * unit
+        carried = at[moved < self.low[at]]
+        self.low[at], self.width[at] = moved, size * unit
+        if len(carried):
+            self._carry(carried)
+        short = at[self.width[at] < np.uint64(1 << 32)]
+        if len(short):
+            self._shift(short)
+
+    def end(self, at: int) -> np.ndarray:
+        low = int(self.low[at])
+        return np.concatenate((self.words[at, : self.used[at]], np.array([low >> 32, low & 0xFFFFFFFF], np.uint32)))
+
+
+def _code(prior: Prior, symbols: np.ndarray, last: int) -> list[np.ndarray]:
+    """The words of each block. ``symbols``: steps x blocks, of which the last block has ``last``."""
     steps, n = symbols.shape
-    model = _Model(distinct, decoding=False)
-    words = np.zeros((n, steps * _TOTAL_BITS // 32 + 8), np.uint32)
-    used = np.zeros(n, np.int64)
-    low = np.zeros(n, np.uint64)
-    width = np.full(n, 2**64 - 1, np.uint64)
-    last = 0
-    for step in range(steps):
-        if step in REFRESH:
-            model.refresh(symbols[last:step], step)
-            last = step
-        same = symbols[step]
-        x = same.astype(np.int64)
-        model.predict()
-        hit2, same1 = same == model.p2, same == model.p1
-        hit1 = same1 & ~hit2
-        start, size = model.interval(x, hit2, hit1)
-        unit = width >> np.uint64(_TOTAL_BITS)
-        moved = low + start * unit
-        carried = np.flatnonzero(moved < low)
-        low, width = moved, size * unit
-        back = used[carried] - 1
-        while len(carried):
-            words[carried, back] += np.uint32(1)
-            over = words[carried, back] == 0
-            carried, back = carried[over], back[over] - 1
-        short = np.flatnonzero(width < np.uint64(1 << 32))
+    model, out = _Model(prior, n), _Writer(n, steps)
+    entries = np.minimum(symbols, prior.wide - 1).astype(np.int16)
+    kept: list[np.ndarray] = []
+    for first, end in zip([0, *_refreshes(steps)], [*_refreshes(steps), steps], strict=True):
+        pair, hit2, hit1 = np.zeros((end - first, n), np.int8), np.zeros((end - first, n), bool), np.zeros((end - first, n), bool)
+        for a in range(first, end, ROWS):
+            out.make_room()
+            part = entries[a : min(a + ROWS, end)]
+            found = np.zeros((2, *part.shape), np.int16)
+            for i, x in enumerate(part):
+                found[:, i] = model.predict()
+                model.learn(x)
+            rows = slice(a - first, a - first + len(part))
+            start, size, pair[rows], hit2[rows], hit1[rows] = _intervals(model, part, found[0], found[1])
+            start, size = start.astype(np.uint64), size.astype(np.uint64)
+            rare_at, rare = None, []
+            if prior.rest is not None:
+                step, rare_at = np.nonzero(part == prior.rest)
+                rare = np.searchsorted(step, np.arange(len(part) + 1)).tolist()
+                name = symbols[a : a + len(part)][step, rare_at] - COMMON
+                rare_start, rare_size = prior.rare_start[name], prior.rare_size[name]
+            for i in range(len(part)):
+                if a + i == last < steps:  # the last block is shorter
+                    kept.append(out.end(n - 1))
+                out.put(start[i], size[i])
+                if rare and rare[i] < rare[i + 1]:
+                    some = slice(rare[i], rare[i + 1])
+                    out.put_rare(rare_at[some], rare_start[some], rare_size[some], prior.rare_bits)
+        if end < steps:
+            model.refresh(end, entries[first:end], pair, hit2, hit1)
+    return [out.end(i) for i in range(n - 1)] + (kept or [out.end(n - 1)])
+
+
+class _Reader:
+    def __init__(self, coded: list[np.ndarray]):
+        words = np.zeros((len(coded), max(map(len, coded)) + 3), np.uint32)
+        for i, w in enumerate(coded):
+            words[i, : len(w)] = w
+        self.last = words.size - 1
+        self.at = np.arange(len(coded), dtype=np.int64) * words.shape[1]
+        self.words = words.reshape(-1)
+        self.ahead = (self.words[self.at].astype(np.uint64) << np.uint64(32)) | self.words[self.at + 1]
+        self.at += 2
+        self.width = np.full(len(coded), 2**64 - 1, np.uint64)
+
+    def _shift(self, at: np.ndarray) -> None:
+        # a block that is shorter than others reads on in words that mean nothing
+        self.ahead[at] = (self.ahead[at] << np.uint64(32)) | self.words[np.minimum(self.at[at], self.last)]
+        self.at[at] += 1
+        self.width[at] <<= np.uint64(32)
+
+    def take(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        self.ahead -= start.astype(np.uint64) * unit
+        self.width = size.astype(np.uint64) * unit
+        short = np.flatnonzero(self.width < np.uint64(1 << 32))
         if len(short):
-            words[short, used[short]] = (low[short] >> np.uint64(32)).astype(np.uint32)
-            used[short] += 1
-            low[short] <<= np.uint64(32)
-            width[short] <<= np.uint64(32)
-        model.learn(x, hit2, same1, hit1)
-    lanes = np.arange(n)
-    words[lanes, used] = (low >> np.uint64(32)).astype(np.uint32)
-    words[lanes, used + 1] = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return [words[i, : used[i] + 2] for i in range(n)]
-
-
-def _decode(coded: list[np.ndarray], distinct: np.ndarray, steps: int) -> np.ndarray:
-    n = len(coded)
-    model = _Model(distinct, decoding=True)
-    words = np.zeros((n, max(map(len, coded)) + 2), np.uint64)
-    for i, w in enumerate(coded):
-        words[i, : len(w)] = w
-    stride, words = words.shape[1], words.reshape(-1)
-    at = np.arange(n, dtype=np.int64) * stride
-    ahead = (words.take(at) << np.uint64(32)) | words.take(at + 1)
-    at += 2
-    width = np.full(n, 2**64 - 1, np.uint64)
-    out = np.zeros((steps, n), np.int16)
-    last = 0
-    for step in range(steps):
-        if step in REFRESH:
-            model.refresh(out[last:step], step)
-            last = step
-        model.predict()
-        unit = width >> np.uint64(_TOTAL_BITS)
-        t = (ahead // unit).astype(np.int32)
-        hit2 = t < model.lead2
-        hit1 = (t < model.lead) & ~hit2
-        slot = np.clip((t - model.lead) // model.w0, 0, (1 << FREQ_BITS) - 1)
-        found = model.slots.take(model.at_slot + slot)
-        found = np.where(hit2, model.p2, np.where(hit1, model.p1, found))
-        x = found.astype(np.int64)
-        start, size = model.interval(x, hit2, hit1)
-        ahead = ahead - start * unit
-        width = size * unit
-        short = np.flatnonzero(width < np.uint64(1 << 32))
+            self._shift(short)
+
+    def rare(self, at: np.ndarray, prior: Prior) -> np.ndarray:
+        unit = self.width[at] >> np.uint64(prior.rare_bits)
+        t = np.minimum(self.ahead[at] // unit, np.uint64((1 << prior.rare_bits) - 1))
+        name = np.searchsorted(prior.rare_start, t, "right") - 1
+        self.ahead[at] -= prior.rare_start[name] * unit
+        self.width[at] = prior.rare_size[name] * unit
+        short = at[self.width[at] < np.uint64(1 << 32)]
         if len(short):
-            ahead[short] = (ahead[short] << np.uint64(32)) | words.take(at[short])
-            at[short] += 1
-            width[short] <<= np.uint64(32)
-        out[step] = found
-        model.learn(x, hit2, found == model.p1, hit1)
-    return out
+            self._shift(short)
+        return name
 
 
-def _dictionary(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = int(block.max()) + 1
-    if top > 1 << 20:
-        ids, index = np.unique(block, return_inverse=True)
-        return ids, index
-    mark = np.zeros(top, bool)
-    mark[block] = True
-    ids = np.flatnonzero(mark)
-    index = np.zeros(top, np.int64)
-    index[ids] = np.arange(len(ids))
-    return ids, index[block]
+def _decode(prior: Prior, coded: list[np.ndarray], steps: int) -> np.ndarray:
+    n = len(coded)
+    model, source = _Model(prior, n), _Reader(coded)
+    model.refresh(0, decoding=True)
+    at_slot = np.arange(n, dtype=np.int64) << FREQ_BITS
+    out = np.zeros((steps, n), np.int32)
+    top, most = np.uint64((1 << TOTAL_BITS) - 1), np.int32((1 << FREQ_BITS) - 1)
+    for first, end in zip([0, *_refreshes(steps)], [*_refreshes(steps), steps], strict=True):
+        pairs, hits = np.zeros((end - first, n), np.int8), np.zeros((end - first, 2, n), bool)
+        for i in range(end - first):
+            found = model.predict()
+            pair = (found[1] & 3) << 2
+            pair |= found[0] & 3
+            pairs[i] = pair
+            w2, w1, w0 = _weights(model.shares[pair + model.at_share])
+            p = found >> 2
+            t = model.freq[p + model.at1]
+            f, c = t & _FREQ, t >> FREQ_BITS + 1
+            apart = p[0] != p[1]
+            f[0] *= apart  # one entry foretold by both counts once
+            own = f * w0
+            by2 = w2 + w1 * ~apart << FREQ_BITS
+            by1 = w1 * apart << FREQ_BITS
+            own[1] += by2
+            own[0] += by1
+            both = own[0] + own[1]
+            unit = source.width >> np.uint64(TOTAL_BITS)
+            v = np.minimum(source.ahead // unit, top).astype(np.int32)
+            hit = hits[i]
+            np.less(v, own[1], out=hit[1])
+            np.less(v, both, out=hit[0])
+            miss = ~hit[0]
+            hit[0] ^= hit[1]
+            # where it is among the entries without the two foretold ones, then among all
+            v -= both
+            v = (v / w0).astype(np.int32)
+            more = f * (v >= c - f[::-1] * (c[::-1] < c))
+            v += more[0]
+            v += more[1]
+            v *= miss
+            known = c * hit
+            v += known[0]
+            v += known[1]
+            np.minimum(v, most, out=v)
+            x = model.slots[v + at_slot]
+            t = model.freq[x + model.at1]
+            cx = t >> FREQ_BITS + 1
+            less = f * (c < cx)
+            cx -= less[0]
+            cx -= less[1]
+            cx *= w0
+            cx += both
+            cx *= miss
+            cx += own[1] * hit[0]
+            t &= _FREQ
+            t *= w0
+            t += by2 * hit[1]
+            t += by1 * hit[0]
+            source.take(cx, t, unit)
+            row = out[first + i]
+            row[:] = x
+            if prior.rest is not None:
+                at = np.flatnonzero(x == prior.rest)
+                if len(at):
+                    row[at] = COMMON + source.rare(at, prior)
+            model.learn(x)
+        if end < steps:
+            model.refresh(end, np.minimum(out[first:end], model.k - 1), pairs, hits[:, 1], hits[:, 0], decoding=True)
+    return out
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of ``ids`` (unsigned 32-bit), in order. No ids: no blocks."""
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
+    """The prior and the coded blocks of ``ids`` (unsigned, up to 32 bits), in order. No ids: no blocks."""
     if not 1 <= block <= BLOCK:
         raise ValueError(f"a block holds 1 to {BLOCK} ids")
-    ids, out = np.asarray(ids, dtype=np.uint32), []
+    ids, out = np.asarray(ids), []
+    prior = Prior.of(ids)
     for first in range(0, len(ids), block * LANES):
         part = ids[first : first + block * LANES]
-        cuts = [part[i : i + block] for i in range(0, len(part), block)]
-        steps = len(cuts[0])
-        symbols = np.zeros((len(cuts), steps), np.int16)
-        dictionaries = []
-        for i, cut in enumerate(cuts):
-            found, index = _dictionary(cut)
-            dictionaries.append(found)
-            symbols[i, : len(cut)] = index
-        distinct = np.array([len(d) for d in dictionaries])
-        coded = _code(np.ascontiguousarray(symbols.T), distinct)
-        for cut, d, w in zip(cuts, dictionaries, coded, strict=True):
-            names = zlib.compress(np.diff(d, prepend=0).astype("<u4").tobytes(), 1)
-            body = _HEAD.pack(_MAGIC, len(cut), len(d), len(names), len(w)) + names + w.astype("<u4").tobytes()
+        n, steps = -(-len(part) // block), min(block, len(part))
+        symbols = np.zeros((n, steps), np.int32 if len(prior.ids) > 1 << 15 else np.int16)
+        symbols.reshape(-1)[: len(part)] = prior.symbols(part)
+        last = len(part) - (n - 1) * steps
+        sizes = [steps] * (n - 1) + [last]
+        for size, words in zip(sizes, _code(prior, np.ascontiguousarray(symbols.T), last), strict=True):
+            body = _HEAD.pack(_MAGIC, size, len(words)) + words.astype("<u4").tobytes()
             out.append(body + struct.pack("<I", zlib.crc32(body)))
-    return out
+    return prior.pack(), out
 
 
-def decode(blocks: list[bytes]) -> np.ndarray:
+def decode(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     """The ids of coded blocks, in the blocks' order; :class:`BlockError` if one is damaged."""
-    out: list[np.ndarray] = []
+    known, out = Prior.unpack(prior), []
     for first in range(0, len(blocks), LANES):
-        heads, dictionaries, coded = [], [], []
+        sizes, coded = [], []
         for data in blocks[first : first + LANES]:
             if len(data) < _HEAD.size + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
                 raise BlockError("a block's checksum is wrong")
-            magic, n, k, size, w = head = _HEAD.unpack_from(data)
-            if magic != _MAGIC or len(data) != _HEAD.size + size + 4 * w + 4:
+            magic, n, w = _HEAD.unpack_from(data)
+            if magic != _MAGIC or len(data) != _HEAD.size + 4 * w + 4:
                 raise BlockError("a block's layout is wrong")
-            heads.append(head)
-            names = np.frombuffer(zlib.decompress(data[_HEAD.size : _HEAD.size + size]), "<u4")
-            dictionaries.append(np.cumsum(names, dtype=np.int64).astype(np.uint32))
-            coded.append(np.frombuffer(data, "<u4", w, _HEAD.size + size))
-        # a shorter last block was coded in step with longer ones, padded; its own ids are read
-        steps = max(h[1] for h in heads)
-        got = _decode(coded, np.array([len(d) for d in dictionaries]), steps).T
-        out += [d[row[: h[1]]] for h, d, row in zip(heads, dictionaries, got, strict=True)]
+            sizes.append(n)
+            coded.append(np.frombuffer(data, "<u4", w, _HEAD.size))
+        got = _decode(known, coded, max(sizes)).T
+        out += [known.names[row[:n]] for n, row in zip(sizes, got, strict=True)]
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
