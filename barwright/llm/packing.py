@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import in_batches, in_larger_parts
+from barwright.llm.shared import in_larger_parts
 from barwright.llm.tokens import batches, encoder, give_back
 
 #: Tokens that are packed together, about: what a task holds at once. A group leaves one or two
 #: windows open, so this many keep padding well under a thousandth.
 GROUP_TOKENS = 6_000_000
+#: Bytes of text that a task packs at least, about: one or two groups.
+PART_BYTES = 32 << 20
 
 
 class CapacityTree:
@@ -145,5 +147,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
         if held:
             yield from close()
 
-    rows = in_larger_parts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return in_batches(rows).mapInArrow(run, _PIECES)
+    rows = in_larger_parts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", PART_BYTES)
+    return rows.mapInArrow(run, _PIECES)

@@ -49,12 +49,20 @@ def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Words of a run from which op7 cuts it. Short lines and sentences recur in most texts (README).
+PASSAGE_WORDS = 25
+
+
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document: what was removed, as start:end of each run, and the text that is left."""
-    out = substring.without_repeats(_table(spark, folder, "documents"))
-    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    """Every document: the runs that were cut, as start:end, the text that is left, and all later
+    occurrences of units, cut or not."""
+    out = substring.without_repeats(_table(spark, folder, "documents"), least=PASSAGE_WORDS)
+
+    def joined(name: str):
+        return F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+
     taken = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
-    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), taken.alias("removed_chars"), spans.alias("spans"), "text")
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), taken.alias("removed_chars"), joined("removed").alias("spans"), "text", joined("later").alias("later_spans"))
 
 
 def mixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +132,29 @@ from base join far using (key)
 """
 
 
+def _passages_sql() -> str:
+    """Units by the same pattern, told apart by their normalised text instead of its digest."""
+    unit = substring.UNIT.replace("'", "''")
+    least = PASSAGE_WORDS
+    return f"""
+with d as (select row_number() over () as key, doc_id, coalesce(text, '') t, text from documents),
+docs as (select *, dense_rank() over (order by doc_id nulls last, t) place from d),
+u0 as (select key, place, unnest(regexp_extract_all(t, '{unit}')) x, generate_subscripts(regexp_extract_all(t, '{unit}'), 1) i from docs),
+u1 as (select key, place, i, x, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) k, sum(length(x)) over (partition by key order by i) stop from u0),
+u2 as (select *, stop-length(x) start, length(k)-length(replace(k, ' ', ''))+1 words, row_number() over (partition by key order by i) nr from u1 where k<>''),
+u3 as (select *, place>min(place) over (partition by k) or i>min(i) over (partition by key, k) later from u2),
+u4 as (select *, nr-row_number() over (partition by key order by nr) g from u3 where later),
+r as (select key, min(start)::bigint s, max(stop)::bigint e, sum(words) words from u4 group by key, g),
+cut as (select key, count(*) n, sum(e-s) chars, string_agg(s||':'||e, ',' order by s) spans from r where words>={least} group by key),
+alls as (select key, string_agg(s||':'||e, ',' order by s) spans from r group by key),
+edge as (select key, s, e from r where words>={least} union all select key, length(t), length(t) from d),
+piece as (select key, s, t[coalesce(lag(e) over (partition by key order by s, e), 0)+1:s] x from edge join d using (key)),
+left_ as (select key, string_agg(x, '' order by s) x from piece group by key)
+select doc_id, coalesce(n, 0)::bigint n_removed, coalesce(chars, 0)::bigint removed_chars, coalesce(cut.spans, '') spans, case when text is not null then coalesce(left_.x, '') end as text, coalesce(alls.spans, '') later_spans
+from d left join cut using (key) left join alls using (key) left join left_ using (key)
+"""
+
+
 def _archives_sql() -> str:
     """Base32 of a SHA-1 from its hexadecimal digits: each five of these make four letters."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -178,4 +209,4 @@ select doc_id, size, source_size, target, (passes*size+{picked("start+size")}-{p
 """
 
 
-SQL: dict[str, str] = {"op8_mixing": _mixing_sql(), "op9_quality": _quality_sql(), "op10_warc": _archives_sql()}
+SQL: dict[str, str] = {"op7_substring": _passages_sql(), "op8_mixing": _mixing_sql(), "op9_quality": _quality_sql(), "op10_warc": _archives_sql()}

@@ -29,7 +29,7 @@ import numpy as np
 
 #: Ids in a block at most, and blocks coded in step.
 BLOCK = 4096
-LANES = 4096
+LANES = 3072
 #: Ids with an entry of their own, at most. An entry and its confidence fit 16 bits.
 COMMON = 511
 FREQ_BITS, SHARE_BITS = 12, 7

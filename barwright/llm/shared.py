@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import math
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the operators count words: space, tab, line feed, VT, FF, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
@@ -16,10 +18,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine), a temporary folder is set.
+    Only on a single machine (master ``local``), where the session names none, a temporary folder is
+    set. Elsewhere that is an error: executors would write to disks that others do not see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -30,21 +35,52 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, jobs pass rows to Python in batches of ``rows`` whole texts at most (and of 64 MB, as
+    Spark has it anyway), where the session has the default of 10,000: both sides hold some batches at
+    a time. The session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if before == "10000":
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before == "10000":
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and no longer dependent on
     shuffle files of executors that may be lost."""
     spark, path = df.sparkSession, workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, which is to go to Python in batches of ``rows`` whole texts at most, not of Spark's
-    default 10,000: both sides hold some batches at a time. A setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def joined_with_one(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``keys``: one row a key, whose column ``n`` says
+    how many rows have it.
+
+    A key with over a thousandth of all rows would fill one task. There are under a thousand such
+    keys, so they are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    many = F.col("n") * 1000 > total
+    hot, rest = keys.where(many).drop("n"), keys.where(~many).drop("n")
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def one_struct(df: DataFrame, name: str = "row"):
+    """All columns as one, so that no other column's name can clash with theirs."""
+    return F.struct(*columns_of(df)).alias(name)
 
 
 def filesystem(uri: str):
@@ -74,13 +110,8 @@ def get_bytes(uri: str, start: int, length: int) -> bytes:
         return file.read_at(length, start)
 
 
-def in_larger_parts(df: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
-    """Joins small input splits (without a shuffle) until each holds about ``part_bytes``.
-
-    For operators whose result is better over a larger group of rows. Large inputs keep their splits.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > 1 << 60:
-        return df
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / part_bytes)))
+def in_larger_parts(df: DataFrame, column: str, part_bytes: int) -> DataFrame:
+    """Joins input splits (without a shuffle) until each holds about ``part_bytes`` of the column, as
+    summed over all rows. For operators whose result is better over a larger group of rows."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // part_bytes)))

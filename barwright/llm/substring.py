@@ -1,10 +1,10 @@
 """Repeated passages, by hashing lines and sentences.
 
 A text's units are its lines, and the sentences of lines that have several. A unit is normalised
-(lower case, white space runs as one space) and hashed to 128 bits. Of each digest the earliest
-occurrence (least rank, then place) is kept; a later one is a repeat. Repeats that follow each other
-in a text form a run, and every run is removed, however short. A caller may keep runs of under
-``least`` words. Runs keep their code-point offsets in the original text.
+(lower case, ASCII white space runs as one space) and hashed to 128 bits. Of each digest the earliest
+occurrence (least rank, then place) is kept; every other one is a later occurrence. Later occurrences
+that follow each other in a text form a run, and runs are removed, however short. A caller may keep
+runs of under ``least`` words. Runs keep their code-point offsets in the original text.
 """
 
 from __future__ import annotations
@@ -18,24 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwright.llm.shared import in_batches, written
+from barwright.llm.shared import SPACE_CHARS, joined_with_one, one_struct, written
 
-#: Every unit has a word: nothing that is repeated stays.
-LEAST_WORDS = 1
-#: A unit ends after a line feed, or after white space behind the end of a sentence.
-_UNIT = re.compile(r"[^\n]*?(?:[.!?][\"')\]]*[ \t]+|\n|\Z)", re.S)
+#: A unit ends after a line feed, or after blanks behind the end of a sentence.
+UNIT = r"""[^\n]*?(?:[.!?]["')\]]*[ \t]+|\n)|[^\n]+"""
+_UNIT = re.compile(UNIT)
+_SPACE = re.compile(f"[{SPACE_CHARS}]+")
 
 
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each unit with a word; offsets count code points."""
-    out, at = [], 0
-    text = text or ""
-    while at < len(text):
-        end = max(_UNIT.match(text, at).end(), at + 1)
-        words = text[at:end].split()
+    out = []
+    for m in _UNIT.finditer(text or ""):
+        words = [w for w in _SPACE.split(m[0]) if w]
         if words:
-            out.append((at, end, len(words), xxhash.xxh128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))))
-        at = end
+            out.append((m.start(), m.end(), len(words), xxhash.xxh128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))))
     return out
 
 
@@ -51,48 +48,51 @@ def runs(found: list[tuple[int, int, int, int]], least: int) -> list[tuple[int,
     return out
 
 
-def places(docs: DataFrame, rank: str | None = None) -> DataFrame:
-    """doc_id and nrs: for each document the units (by number) that an earlier document has.
+def _keyed(docs: DataFrame, rank: str | None) -> DataFrame:
+    """Place in the order of documents, text, and the row: rank (null last), doc_id (null last), and
+    the text's hash, by which documents of one doc_id are told apart and ordered."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    text = F.col("text").cast("string")
+    first = F.coalesce(F.col(rank).cast("long"), F.lit(2**63 - 1)) if rank else F.lit(0).cast("long")
+    place = F.struct(first.alias("rank"), F.col("doc_id").isNull().alias("none"), doc.alias("doc"), F.xxhash64(text).alias("hash"))
+    return docs.select(place.alias("place"), text.alias("text"), one_struct(docs))
 
-    Only a text's first unit of a digest is sent out, as digest, document and number; that later
-    ones in the same text repeat it is plain in the text itself. The join's rows are written before
-    they are gathered by document, so that a very common digest can be dealt to many tasks.
+
+_PLACE = "struct<rank:bigint,none:boolean,doc:bigint,hash:bigint>"
+
+
+def later_units(keyed: DataFrame) -> DataFrame:
+    """place and nrs: for each document the units (by number) that an earlier document has.
+
+    Only a text's first unit of a digest is sent out, as digest, place and number; that later ones in
+    the same text repeat it is plain in the text itself. The join's rows are written before they are
+    gathered by document.
     """
-    by = "doc_id" if rank is None else "rank"
 
     def run(rows):
         for batch in rows:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)
-                docs_, ranks, nrs, digests = [], [], [], []
-                for d, t, r in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                at, nrs, digests = [], [], []
+                for row, t in enumerate(some.column(1).to_pylist()):
                     first = {}
                     for nr, (*_, digest) in enumerate(units(t)):
                         first.setdefault(digest, nr)
-                    docs_ += [d] * len(first)
-                    ranks += [r] * len(first)
+                    at += [row] * len(first)
                     nrs += first.values()
                     digests += first
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_, pa.int64()), pa.array(ranks, pa.int64()), pa.array(nrs, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "rank", "nr", "d1", "d2"]
-                )
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col(rank or "doc_id").cast("long"), F.lit(2**62)).alias("rank"))
-    made = in_batches(rows).mapInArrow(run, "doc_id long, rank long, nr int, d1 long, d2 long")
-    made = written(made.drop("rank") if rank is None else made, "units")
-    if rank is None:
-        first = made.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        later = F.col("doc_id") > F.col("first")
-    else:
-        first = made.groupBy("d1", "d2").agg(F.min(F.struct(by, "doc_id")).alias("first"), F.count("*").alias("n"))
-        later = F.struct(by, "doc_id") > F.col("first")
-    found = written(made.join(first.where("n > 1").drop("n"), ["d1", "d2"]).where(later).select("doc_id", "nr"), "units-later")
-    return found.groupBy("doc_id").agg(F.collect_list("nr").alias("nrs"))
-
-
-def spans_of(text: str | None, later: list[int], least: int) -> list[tuple[int, int]]:
-    """Runs to remove from a text, given the units that earlier documents have."""
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), pa.array(nrs, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["place", "nr", "d1", "d2"])
+
+    made = written(keyed.select("place", "text").mapInArrow(run, f"place {_PLACE}, nr int, d1 long, d2 long"), "units")
+    first = made.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = joined_with_one(made, first, ["d1", "d2"], made.count()).where("place > first").select("place", "nr")
+    return written(later, "units-later").groupBy("place").agg(F.collect_set("nr").alias("nrs"))
+
+
+def spans_of(text: str | None, later: list[int], least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs of later occurrences in a text, given the units that earlier documents have; and those of
+    them that are to be removed."""
     found = units(text)
     gone = {found[nr][3] for nr in later}
     seen, repeated = set(), []
@@ -100,42 +100,51 @@ def spans_of(text: str | None, later: list[int], least: int) -> list[tuple[int,
         if digest in gone or digest in seen:
             repeated.append((nr, start, end, words))
         seen.add(digest)
-    return runs(repeated, least)
+    return runs(repeated, 1), runs(repeated, least)
 
 
-def without_repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns, with removed runs cut from ``text``, and their spans in the original
-    text as column ``removed`` (empty if none).
+def without_repeats(docs: DataFrame, rank: str | None = None, least: int = 1) -> DataFrame:
+    """All rows and columns, with removed runs cut from ``text``; ``later``, the spans of all later
+    occurrences in the original text; and ``removed``, those of them that were cut (equal to ``later``
+    unless ``least`` is above 1). Both are empty if there are none.
 
-    Documents rank by ``rank`` (a column, null last; doc_id if none), then doc_id; places in a text
-    follow. Null and empty texts have no unit. Rows that repeat a doc_id are one document: they are
-    repeats of others, not of each other. A row without a doc_id is compared with itself only.
+    Documents rank by ``rank`` (a column, null last; none: all alike), then doc_id (null last), then
+    the text's hash; places in a text follow. Rows with equal rank, doc_id and text are one document:
+    they are repeats of others, not of each other. A doc_id with several texts is several documents.
+    Null and empty texts have no unit, texts of any length are read whole, and an empty table gives no
+    rows. Columns named ``later`` or ``removed`` are replaced; other names cannot clash.
     """
-    nrs = places(docs, rank).select(F.col("doc_id").alias("_units_doc"), F.col("nrs").alias("_units_nrs"))
-    at, n = docs.columns.index("text"), len(docs.columns)
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(nrs, docs["doc_id"] == nrs["_units_doc"], "left")
-    joined = joined.select(*[joined[c] for c in docs.columns], F.col("_units_nrs"))
+    keyed, extra = _keyed(docs, rank), ("later", "removed")
+    nrs = later_units(keyed).select(F.col("place").alias("of"), "nrs")
+    joined = keyed.join(nrs, F.col("place") == F.col("of"), "left").select("row", "nrs")
+    kept = [f for f in docs.schema.fields if f.name not in extra]
+    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept])
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    for name in extra:
+        schema = schema.add(name, spans)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    places, at = [docs.columns.index(f.name) for f in kept], docs.columns.index("text")
 
     def run(rows):
         for batch in rows:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)
-                texts, removed = some.column(at).to_pylist(), []
-                for j, later in enumerate(some.column(n).to_pylist()):
-                    found = spans_of(texts[j], later or [], least)
-                    removed.append([{"start": s, "end": e} for s, e in found])
-                    for s, e in reversed(found):
+                columns = some.column(0).flatten()
+                texts = columns[at].cast(pa.string()).to_pylist()
+                found: tuple[list, list] = ([], [])
+                for j, nrs_ in enumerate(some.column(1).to_pylist()):
+                    later, removed = spans_of(texts[j], nrs_ or [], least)
+                    for out, x in zip(found, (later, removed), strict=True):
+                        out.append([{"start": s, "end": e} for s, e in x])
+                    for s, e in reversed(removed):
                         texts[j] = texts[j][:s] + texts[j][e:]
-                columns = [pa.array(texts, some.schema.field(at).type) if k == at else some.column(k) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], names=[*some.schema.names[:n], "removed"])
+                made = [pa.array(texts, pa.string()) if p == at else columns[p] for p in places]
+                yield pa.RecordBatch.from_arrays([*made, *(pa.array(x, kind) for x in found)], names=schema.names)
 
-    schema = T.StructType([*joined.schema.fields[:n], T.StructField("removed", spans)])
-    return in_batches(joined).mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, rank: str | None = None, least: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, rank: str | None = None, least: int = 1) -> DataFrame:
     """doc_id and spans (start, end) of every row that has a removed run."""
     out = without_repeats(docs.select("doc_id", "text", *([rank] if rank and rank not in ("doc_id", "text") else [])), rank, least)
     return out.select("doc_id", F.col("removed").alias("spans")).where("size(spans) > 0")

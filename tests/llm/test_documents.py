@@ -194,40 +194,114 @@ def test_components_of_a_long_chain(spark, monkeypatch):
 # repeated passages
 
 
+def plain_units(text):
+    """Lines and their sentences, character by character."""
+    out, start, i = [], 0, 0
+    text = text or ""
+    while i < len(text):
+        end = None
+        if text[i] == "\n":
+            end = i + 1
+        elif text[i] in ".!?":
+            j = i + 1
+            while j < len(text) and text[j] in "\"')]":
+                j += 1
+            k = j
+            while k < len(text) and text[k] in " \t":
+                k += 1
+            end = k if k > j else None
+        i += 1
+        if end:
+            out.append((start, end))
+            start = i = end
+    out += [(start, len(text))] if start < len(text) else []
+    found = [(s, e, WORD.findall(text[s:e].lower())) for s, e in out]
+    return [(s, e, len(w), " ".join(w)) for s, e, w in found if w]
+
+
 def plain_repeats(rows, least):
-    seen, spans = set(), {}
-    for d, text in sorted(rows):
-        found = []
-        for n, (s, e, w, digest) in enumerate(substring.units(text)):
-            if digest in seen:
-                found.append((n, s, e, w))
-            seen.add(digest)
-        if got := substring.runs(found, least):
-            spans[d] = got
-    return spans
-
-
-def test_repeats_against_one_pass(documents):
+    """(doc_id, text) to the spans cut; rows in the order of documents."""
+    seen, out = {}, {}
+    for place, (d, text) in enumerate(rows):
+        if (d, text) in out:
+            continue
+        cut, run = [], []
+        own = set()
+        for s, e, w, k in [*plain_units(text), (None, None, 0, None)]:
+            if k is not None and (k in own or seen.get(k, place) < place):
+                run.append((s, e, w))
+            else:
+                if run and sum(x[2] for x in run) >= least:
+                    cut.append((run[0][0], run[-1][1]))
+                run = []
+            own.add(k)
+        for k in own:
+            seen.setdefault(k, place)
+        out[d, text] = cut
+    return out
+
+
+def ranked(rows):
+    """Rows of one doc_id and several texts are put in the operator's own order of them."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.getActiveSession()
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t, *_ in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    return [r[:2] for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))]
+
+
+def test_units_by_a_plain_scan():
+    draw = np.random.default_rng(9)
+    for _ in range(500):
+        text = "".join(draw.choice(list("aB.!)' \t\nÉ\x0b\x85"), 40))
+        assert [(s, e, w) for s, e, w, _ in substring.units(text)] == [(s, e, w) for s, e, w, _ in plain_units(text)]
+
+
+@pytest.mark.parametrize("least", [1, 15])
+def test_repeats_against_one_pass(documents, least):
     draw = np.random.default_rng(2)
     sentences = [" ".join(draw.choice(list("abcdefghij"), draw.integers(2, 12))) + "." for _ in range(40)]
-    rows = [(i, "".join(s + str(draw.choice([" ", "\n"])) for s in draw.choice(sentences, 8)) + f"own {i}", "en", "a") for i in range(60)]
+    rows = [(i // 2 if i < 50 else None if i < 53 else i, "".join(s + str(draw.choice([" ", "\n"])) for s in draw.choice(sentences, 8)) + f"own {i}", "en", "a") for i in range(60)]
+    rows += [rows[3], rows[51]]
     df = documents(rows)
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(df, least=15).collect()}
-    assert got == plain_repeats([r[:2] for r in rows], 15) and got
-    texts = {r[0]: r[1] for r in rows}
-    for r in substring.without_repeats(df, least=15).collect():
-        want, at = "", 0
-        for s, e in got.get(r.doc_id, []):
-            want += texts[r.doc_id][at:s]
-            at = e
-        assert r.text == want + texts[r.doc_id][at:]
-
-
-def test_repeats_corner_cases(documents, hard_rows):
-    out = {r.doc_id: r for r in substring.without_repeats(documents(hard_rows), least=10).collect()}
-    assert out[0].text == hard_rows[0][1] and out[1].text == "" and out[2].text is None
-    assert len(out[1].removed) == 1 and out[7].text.strip() != "" and not out[5].removed
-    assert substring.without_repeats(documents([])).count() == 0
+    want = plain_repeats(ranked(rows), least)
+    got = substring.without_repeats(df, least=least).select("doc_id", "text", "removed", "_doc").collect()
+    texts = Counter()
+    for (d, text), spans in want.items():
+        for s, e in reversed(spans):
+            text_ = text[:s] + text[e:] if (s, e) == spans[-1] else text_[:s] + text_[e:]
+        n = sum(r[:2] == (d, text) for r in rows)
+        texts[d, text_ if spans else text, tuple(spans)] += n
+    assert Counter((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in got) == texts
+    assert any(want.values())
+
+
+def test_repeats_corner_cases(spark, documents, hard_rows):
+    from pyspark.sql import functions as F
+
+    rows = hard_rows + [(6, "another text of the same number. Short", "en", "a"), (9, "short", "en", "a")]
+    want = plain_repeats(ranked(rows), 10)
+    for clash in ("removed", "later", "place", "nrs", "row", "text.x"):
+        df = documents(rows).withColumn(clash, F.lit("x"))
+        out = substring.without_repeats(df, least=10)
+        assert out.columns == [c for c in df.columns if c not in ("removed", "later")] + ["later", "removed"]
+        got = out.select("doc_id", "removed").collect()
+        assert Counter((r.doc_id, tuple(map(tuple, r.removed))) for r in got) == Counter((d, tuple(want[d, t])) for d, t, *_ in rows)
+    kept = {r.doc_id: r for r in out.select("doc_id", "text", "later").collect()}
+    assert kept[0].text == hard_rows[0][1] and kept[1].text == "" and kept[2].text is None and kept[9].later
+    assert substring.without_repeats(documents([])).count() == substring.repeats(documents([])).count() == 0
+
+
+def test_rank_comes_before_doc_id(spark):
+    df = spark.createDataFrame([(1, "same line", None), (2, "same line", 7), (3, "same line", 5)], "doc_id long, text string, r int")
+    assert {r.doc_id: r.text for r in substring.without_repeats(df, rank="r").collect()} == {1: "", 2: "", 3: "same line"}
+
+
+def test_a_very_common_unit(spark):
+    """Over a thousandth of all rows: it is not shuffled to one task."""
+    df = spark.createDataFrame([(i, f"common line\nown {i}") for i in range(3000)], "doc_id long, text string")
+    assert {r.text for r in substring.without_repeats(df).where("doc_id > 0").select("text").collect()} == {f"own {i}" for i in range(1, 3000)}
 
 
 def test_short_repeats_and_passages_cut_at_both_ends(documents):
