@@ -36,6 +36,9 @@ MIXED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")  # whole runs; counted only wi
 _MIXTURE = (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]"))
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])|(?<![A-Za-z0-9@.-])(?:[a-z0-9-]+\.)+(?:com|net|org|io|dev|local|internal)(?::[0-9]{1,5})?(?![A-Za-z0-9])""", re.A)
 
+#: What ends a scope: an empty line, or one of blanks, with either kind of line end.
+BLANK = re.compile(r"\n[ \t\r]*\n")
+
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _WEAK_WORDS = ("pwd", "pass", "credential", "bearer", "auth", "private")
 _ID_WORDS = ("user", "login", "client", "account", "access")
@@ -78,7 +81,7 @@ def _joined(text: str, spans: list[Span], others: list[Span]) -> list[Span]:
         near = ([others[ends_so_far[i - 1]]] if i else []) + others[i : i + 1]
         for a, b, _ in near:
             low, high = (min(e, b), max(s, a))
-            if high - low <= REACH and "\n\n" not in text[low:high]:
+            if high - low <= REACH and not BLANK.search(text, low, high):
                 out.append((s, e, kind))
                 break
     return out
@@ -106,7 +109,9 @@ def find(text: str | None) -> list[Span]:
         mixed = [(*m.span(), "weak_secret") for m in MIXED.finditer(text) if all(c.search(m[0]) for c in _MIXTURE)]
         beside, over = _within(mixed, who, REACH), set(_within(mixed, who, -1))
         weak_secrets += [x for x in beside if x not in over]
-    weak_secrets = [x for x in sorted(set(weak_secrets)) if not any(s < x[1] and x[0] < e for s, e, _ in secrets)]
+    weak_secrets = sorted(set(weak_secrets))
+    over = set(_within(weak_secrets, secrets, -1)) if secrets else set()
+    weak_secrets = [x for x in weak_secrets if x not in over]
     found = list(base)
     if secrets or weak_secrets:
         endpoints = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "." in text or "://" in text else []
@@ -119,7 +124,8 @@ def find(text: str | None) -> list[Span]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end) of every row; no spans for a null or empty text.
 
-    Rows stay as they are: a repeated or null doc_id has a row each time. Other columns are ignored.
+    Rows stay as they are: a repeated or null doc_id has a row each time. Texts of any length are read
+    whole, in time linear in their length; an empty table gives no rows. Other columns are ignored.
     """
 
     def run(rows):
@@ -154,7 +160,9 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """All rows and columns, with the secrets in ``text`` replaced. Null texts stay null."""
+    """All rows and columns, with the secrets in ``text`` replaced. Null and empty texts stay as they
+    are, repeated rows and null doc_ids too; texts of any length are read whole, an empty table gives no
+    rows, and names of other columns cannot clash."""
     at, kind = docs.columns.index("text"), dict(docs.dtypes)["text"]
     if kind != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
