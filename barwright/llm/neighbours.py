@@ -14,6 +14,9 @@ have been met in one of the buckets with probability ``SUCCESS`` at least, which
 query and the Gaussian law give. Where they are not, or where a query has under k candidates, the
 rest of the range is scanned exactly, unless its norms are too small to matter.
 
+Every part of the index (some rows, as many as a task can hold) answers every query. With a fixed
+share of all rows as candidates the work is quadratic in the table, as is that of an exact search.
+
 Rows with equal vectors are one entry of the index, with the least ids of its members: no result
 needs more of them than it returns, and one of them more for the query itself.
 """
@@ -30,21 +33,34 @@ from pyspark.sql import functions as F
 
 from barwright.llm.shared import written
 
-TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 8, 8, 2.0, 190, 20
+TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 8, 10, 2.0, 800, 20
 #: Least probability that a row as good as the k-th candidate is among the candidates.
-SUCCESS = 0.95
+SUCCESS = 0.9
 #: Ranges of norms: so many to a doubling. Ranges of fewer rows than ``FEW`` have no tables; all their rows are candidates.
 RANGES, FEW = 4, 64
-#: Rows of a part of the index.
-PART = 20_000
+#: Bytes of vectors in a part of the index, about: what a task holds at once.
+PART_BYTES = 64 << 20
 #: Parts into which the members of a group of equal vectors are ranked first.
 SALT = 64
 
-#: Moves of up to four values; the likeliest ``PROBES`` hardly ever move more.
-_MOVES = np.array([m for m in itertools.product((0, -1, 1), repeat=FUNCTIONS) if sum(map(abs, m)) <= 4], np.int64)
+def _moves(most: int) -> np.ndarray:
+    """All moves of up to so many values by one interval."""
+    out = []
+    for count in range(most + 1):
+        for places in itertools.combinations(range(FUNCTIONS), count):
+            for ways in itertools.product((-1, 1), repeat=count):
+                move = np.zeros(FUNCTIONS, np.int64)
+                move[list(places)] = ways
+                out.append(move)
+    return np.array(out)
+
+
+#: The likeliest ``PROBES`` hardly ever move more than four values.
+_MOVES = _moves(4)
 _GRID = np.linspace(-9, 9, 18_001)
 _GRID_VALUES = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
-_RADIX = 257 ** np.arange(FUNCTIONS - 1, -1, -1, dtype=np.int64)
+#: A projection of a unit vector lies within 16 intervals of its offset but for one in 10^200.
+_RADIX = 64 ** np.arange(FUNCTIONS - 1, -1, -1, dtype=np.int64)
 
 
 class Hashes:
@@ -67,7 +83,7 @@ class Hashes:
 
     def codes(self, x: np.ndarray, scale: float) -> np.ndarray:
         """Bucket of each vector, of norm ``scale`` at most, in each table."""
-        return (np.floor(self._places(x, scale)).astype(np.int64) + 128) @ _RADIX
+        return (np.floor(self._places(x, scale)).astype(np.int64) + 32) @ _RADIX
 
     def probes(self, x: np.ndarray, count: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets to visit for each query in each table, likeliest first; the numbers of their
@@ -79,7 +95,7 @@ class Hashes:
         cost = below @ (_MOVES == -1).T + above @ (_MOVES == 1).T
         first = np.argpartition(cost, count, axis=2)[..., :count]
         first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, 2), axis=2, kind="stable"), 2)
-        return ((base.astype(np.int64) + 128) @ _RADIX)[..., None] + (_MOVES @ _RADIX)[first], first, places - base
+        return ((base.astype(np.int64) + 32) @ _RADIX)[..., None] + (_MOVES @ _RADIX)[first], first, places - base
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -103,17 +119,23 @@ class Range:
 
     def __init__(self, hashes: Hashes, rows: np.ndarray, vectors: np.ndarray, norm: float):
         self.rows, self.norm = rows, norm
-        self.tables = [np.unique(code, return_inverse=True) for code in hashes.codes(vectors[rows], norm)] if len(rows) >= FEW else []
+        self.tables = []
+        for code in hashes.codes(vectors[rows], norm) if len(rows) >= FEW else ():
+            order = np.argsort(code, kind="stable")
+            names, start = np.unique(code[order], return_index=True)
+            self.tables.append((names, np.append(start, len(rows)), order))  # the rows of each bucket
 
     def candidates(self, probes: np.ndarray) -> np.ndarray:
-        """Whether each row is in one of the buckets that one query visits."""
-        hit = np.full(len(self.rows), not self.tables)
-        for (names, bucket), codes in zip(self.tables, probes, strict=False):
+        """The rows (by place in the range) of the buckets that one query visits, each once."""
+        if not self.tables:
+            return np.arange(len(self.rows))
+        met = np.zeros(len(self.rows), bool)
+        for (names, start, order), codes in zip(self.tables, probes, strict=True):
             at = np.minimum(np.searchsorted(names, codes), len(names) - 1)
-            visited = np.zeros(len(names), bool)
-            visited[at[names[at] == codes]] = True
-            hit |= visited[bucket]
-        return hit
+            at = at[names[at] == codes]
+            size = start[at + 1] - start[at]
+            met[order[np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+        return np.flatnonzero(met)
 
 
 class Part:
@@ -124,43 +146,48 @@ class Part:
         norms = np.linalg.norm(vectors, axis=1)
         kind = np.floor(np.log2(norms / norms.max()) * RANGES + 0.5)
         self.ranges = [Range(hashes, rows, vectors, norms[rows].max()) for rows in (np.flatnonzero(kind == x) for x in np.unique(kind)[::-1])]
-        self.scans = 0
+        self.scans = self.visited = 0
 
     def nearest(self, queries: np.ndarray, k: int):
-        """Ids and scores of the best ``k`` candidates of each query. A block of queries is
-        multiplied with all rows at once, which is faster than gathering candidates; only the
-        products of candidates, and of ranges to be scanned, are looked at."""
+        """Ids and scores of the best ``k`` candidates of each query. Only rows of visited buckets, and
+        of ranges to be scanned, are multiplied with the query."""
         probes, moves, offsets = self.hashes.probes(queries)
-        products = queries @ self.vectors.T
         for j, query in enumerate(queries):
             length = np.linalg.norm(query)
-            hits, least = [], -math.inf
+            found: list[tuple[np.ndarray, np.ndarray]] = []  # rows and products, by range
+            least = -math.inf
             for r in self.ranges:  # the longest first; no product is over that of the norms
                 if r.norm * length * (1 + 1e-9) < least:
                     break
-                hits.append(r.candidates(probes[:, j]))
-                least = self._least(products[j], hits, k)
-            for i, hit in enumerate(hits):
-                r = self.ranges[i]
-                if hit.all() or r.norm * length * (1 + 1e-9) < least:
+                rows = r.rows[r.candidates(probes[:, j])]
+                found.append((rows, self.vectors[rows] @ query))
+                least = self._least(found, k)
+            for r, (rows, products) in zip(self.ranges, list(found), strict=False):
+                if len(rows) == len(r.rows) or r.norm * length * (1 + 1e-9) < least:
                     continue
                 if least > -math.inf:
                     distance = math.sqrt(max(0.0, 2 - 2 * least / (r.norm * length)))
                     if success(offsets[:, j, :], moves[:, j, :], distance) >= SUCCESS:
                         continue
-                hit[:] = True
+                rest = r.rows[~np.isin(r.rows, rows, assume_unique=True)]
+                found.append((rest, self.vectors[rest] @ query))
                 self.scans += 1
-                least = self._least(products[j], hits, k)
-            rows = np.concatenate([r.rows[hit] for r, hit in zip(self.ranges, hits, strict=False)])
-            scores = products[j, rows]
-            rows, scores = rows[scores >= least], scores[scores >= least]  # all rows as good as the k-th stay
+                least = self._least(found, k)
+            rows, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.visited += len(rows)
+            rows = rows[scores >= least]  # all rows as good as the k-th stay
+            scores = (self.vectors[rows] * query).sum(axis=1)
             order = np.lexsort((self.ids[rows], -scores))[:k]
-            yield self.ids[rows[order]], (self.vectors[rows[order]] * query).sum(axis=1)
+            yield self.ids[rows[order]], scores[order]
 
-    def _least(self, products: np.ndarray, hits: list[np.ndarray], k: int) -> float:
-        """The k-th best product of the candidates; minus infinity if they are fewer."""
-        scores = np.concatenate([products[r.rows[hit]] for r, hit in zip(self.ranges, hits, strict=False)])
-        return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -math.inf
+    @staticmethod
+    def _least(found: list[tuple[np.ndarray, np.ndarray]], k: int) -> float:
+        """The k-th best product so far, less what rounding may do; minus infinity if they are fewer."""
+        scores = np.concatenate([x for _, x in found])
+        if len(scores) < k:
+            return -math.inf
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        return least - abs(least) * 1e-12
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -173,7 +200,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return v.where(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, part: int = PART) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by ``every``
     its ``k`` nearest found among all other rows, ties to the smaller vec_id.
 
@@ -191,7 +218,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, part: int = PAR
     groups = written(groups.join(members, ["k1", "k2"]), "nn-groups")
     total = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = total["n"], total["dim"] or 1
-    parts = max(1, -(-n // part))
+    parts = max(1, -(-n * dim * 8 // part_bytes))
 
     def run(batches):
         hashes, at, built = Hashes(dim), None, None
