@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import written
+from barwright.llm.shared import joined_with_one, one_struct, written
 from barwright.llm.tokens import forget
 
 WORDS = 4
@@ -25,6 +25,8 @@ BUDGET = 4
 BITS = 64
 #: Fingerprints of a group that one task joins; larger groups are dealt out further.
 GROUP = 4000
+#: Rows of groups that are joined at a time, about.
+AT_ONCE = 100_000
 #: Pairs of nodes walked at a time.
 FRONTIER = 1 << 18
 
@@ -53,7 +55,8 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, hash (of the text, by which rows of one doc_id are told apart) and fp (the fingerprint
+    as a signed long) of every row."""
 
     def run(rows):
         forget()
@@ -61,9 +64,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 1024):
                 some = batch.slice(i, 1024)
                 fps = np.array([fingerprint(t) for t in some.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _forest(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -167,7 +171,7 @@ def _value(fp, shift: int, width: int):
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP, at_once: int = AT_ONCE) -> DataFrame:
     """``fps``: distinct fp, id. Stars (u, v) of ids whose fingerprints are linked; u < v."""
     blocks = _blocks(BITS, budget + 1)
     keyed = fps.select("fp", "id", F.explode(F.array(*[F.struct(F.lit(i).alias("b1"), _value(F.col("fp"), s, w).alias("k1")) for i, (s, w) in enumerate(blocks)])).alias("x")).select("fp", "id", "x.*")
@@ -195,21 +199,34 @@ def links(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame
         deep = deep.select("fp", "id", F.struct("b1", "k1", "b2", "k2", "x.p", "x.q").alias("key"), F.col("x.side").alias("side"))
         dealt = small.unionByName(deep)
 
-    def run(rows):
-        batches = [b for b in rows if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        ids, fp, gr, side = (table.column(c).to_numpy() for c in ("id", "fp", "grp", "side"))
+    def join(parts):
+        ids, fp, gr, side = (np.concatenate(x) for x in zip(*parts, strict=True))
         by_id = np.argsort(ids, kind="stable")  # so that a star's centre is its least id
         ids, fp, gr, side = ids[by_id], fp[by_id].view(np.uint64), gr[by_id], side[by_id]
         root = trie_components(gr, fp, side)
         spoke = root != np.arange(len(root))
         u, v = ids[root[spoke]], ids[spoke]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def run(rows):
+        """Whole groups, some at a time: a group has ``group`` rows, or two pieces of about that."""
+        held, size = [], 0
+        for batch in rows:
+            part = tuple(batch.column(c).to_numpy() for c in ("id", "fp", "grp", "side"))
+            last = np.flatnonzero(part[2] != part[2][-1])
+            cut = last[-1] + 1 if len(last) else 0  # the last group may go on
+            if size and (cut or held[-1][2][-1] != part[2][0]) and size + cut >= at_once:
+                # up to the end of a group that lies in this batch, or at the batch's start
+                yield join([*held, tuple(x[:cut] for x in part)] if cut else held)
+                held, size = [], 0
+                part = tuple(x[cut:] for x in part)
+            held.append(part)
+            size += len(part[0])
+        if size:
+            yield join(held)
 
     # a group's number: two keys with one hash would only be joined for nothing, never linked wrongly
-    spread = dealt.select("fp", "id", F.xxhash64("key").alias("grp"), "side").repartition("grp")
+    spread = dealt.select("fp", "id", F.xxhash64("key").alias("grp"), "side").repartition("grp").sortWithinPartitions("grp")
     return spread.mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
@@ -222,37 +239,57 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder.
     """
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "component-labels")
+    total = both.count()
+    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("label"), F.count("*").alias("n")), "component-labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        stepped = written(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "component-steps")
-        hooked = stepped.where("label < was").groupBy(F.col("was").alias("id")).agg(F.min("label").alias("hook"))
-        further = labels.join(hooked, "id", "left").select(F.col("id").alias("was"), F.least("label", "hook").alias("on"))
-        after = written(stepped.join(further, "was").select("id", "was", F.least("label", "on").alias("label")), "component-labels")
+        # a vertex of very many edges, and a label of very many vertices, are dealt out
+        seen = joined_with_one(both, labels.select(F.col("id").alias("v"), "label", "n"), ["v"], total)
+        near = seen.groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        stepped = written(labels.join(near, "id").select("id", "n", F.col("label").alias("was"), F.least("label", "near").alias("label")), "component-steps")
+        hooked = stepped.groupBy("was").agg(F.min(F.when(F.col("label") < F.col("was"), F.col("label"))).alias("hook"), F.count("*").alias("n"))
+        further = labels.select("id", "label").join(hooked, F.col("id") == F.col("was")).select("was", F.least("label", "hook").alias("on"), "n")
+        after = joined_with_one(stepped.withColumnRenamed("n", "edges"), further, ["was"], total)
+        after = written(after.select("id", "was", F.least("label", "on").alias("label"), F.col("edges").alias("n")), "component-labels")
         if not after.where("label <> was").limit(1).count():
             return after.select("id", F.col("label").alias("component"))
-        labels = after.select("id", "label")
+        labels = after.select("id", "label", "n")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, fp and component_id of every row."""
+    marked = written(fingerprints(docs), "simhash")
+    numbered = marked.where("doc_id is not null")
+    fps = written(numbered.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-distinct")
+    found = components(links(fps.select("fp", "id")))
+    named = fps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    # a fingerprint of very many rows is not shuffled to one task
+    out = joined_with_one(numbered, named, ["fp"], numbered.count()).select("doc_id", "hash", "fp", "component_id")
+    return out.unionByName(marked.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable by links) of every row.
 
-    A null or empty text has fingerprint 0 and is linked like any other. A repeated doc_id has a row
-    each time. A row without doc_id links nothing and has no component. Other columns are ignored.
+    A null or empty text has fingerprint 0 and is linked like any other; a text of any length is read
+    whole. A repeated doc_id has a row each time, with the fingerprint of its own text. A row without
+    doc_id links nothing and has no component. An empty table gives no rows. Other columns are ignored.
     """
-    marked = written(fingerprints(docs), "simhash")
-    fps = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    found = components(links(fps))
-    named = fps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _named(docs).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row, with all its columns, of each component: that of the least doc_id. Rows without a
-    doc_id stay. Of rows that repeat a doc_id one stays."""
-    columns = docs.columns
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left").where("_kept is not null or doc_id is null").select(*columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    """One row, with all its columns (whatever their names), of each component: that of the least
+    doc_id, and of several texts for it that with the least hash. Of rows that agree in both that with
+    the least hash of all columns stays, once. Rows without a doc_id all stay. A null or empty text is
+    a text like any other, and an empty table stays empty."""
+    named = _named(docs).where("doc_id is not null")
+    best = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("best")).select(F.col("best").alias("of"))
+    # how often the rows that stay are there; only those there more than once are looked at again
+    counts = named.groupBy(F.struct("doc_id", "hash").alias("of")).agg(F.count("*").alias("n")).join(best, "of")
+    counts = written(counts, "simhash-kept")
+    place = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash")).alias("place")
+    rows = docs.where("doc_id is not null").select(place, one_struct(docs))
+    once = rows.join(counts.where("n = 1"), F.col("place") == F.col("of"), "left_semi").select("row.*")
+    more = rows.join(counts.where("n > 1"), F.col("place") == F.col("of"), "left_semi")
+    more = more.groupBy("place").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
