@@ -11,15 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.llm.shared import small_batches, written
 from barwright.llm.tokens import forget
 
 ORDERS = (3, 4, 5)
 PLACES = 1 << 18
 #: Labelled rows to learn from, at most: those with the least hash of their doc_id.
 SAMPLE = 4000
+#: And so many bytes of their texts, in the same order; the driver holds some twelve times that at most.
+SAMPLE_BYTES = 24 << 20
 #: A feature counts from so many sample texts on, and with so large a ratio.
 LEAST_TEXTS, LEAST_RATIO = 3, 0.4
 STEPS, RIDGE = 150, 1e-3
@@ -99,11 +102,13 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled rows that are not held out.
+    """Learns from at most ``sample`` labelled rows (and ``SAMPLE_BYTES`` of text) that are not held out.
 
-    Labels other than 0 and 1 are passed over; of several for one doc_id the larger counts. The
-    sample (doc_ids and labels only) is bounded and so may be broadcast; features are made where
-    the texts are, and only they come to the driver.
+    Labels other than 0 and 1 are passed over; of several for one doc_id the larger counts. Of several
+    texts for one doc_id that with the least hash counts, once. Null doc_ids are held out, null texts
+    are empty, texts of any length are read whole, and without labelled rows (or with one class) the
+    score is a constant. Other columns are ignored. The sample (doc_ids and labels only) is bounded
+    and so may be broadcast; features are made where the texts are, and only they come to the driver.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -118,13 +123,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found = [f.astype("<i4").tobytes() for f in features(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found, pa.binary())], names=["id", "y", "f"])
 
-    rows = texts.join(F.broadcast(known), "id").mapInArrow(run, "id long, y int, f binary").collect()
-    rows.sort(key=lambda r: (r["id"], r["f"]))
-    return fit([np.frombuffer(r["f"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.float64))
+    # one text a doc_id; which ones fit into the bytes is decided before any text moves
+    sizes = texts.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.octet_length(F.coalesce("t", F.lit(""))).alias("size"))).alias("of"))
+    before = F.sum("of.size").over(Window.orderBy(F.xxhash64("id"), "id"))
+    chosen = sizes.withColumn("upto", before).where(F.col("upto") <= SAMPLE_BYTES).select("id", "y", F.col("of.h").alias("h"))
+    chosen = written(chosen, "toxic-sample")
+    picked = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "h"]).select("id", "t", "y").dropDuplicates(["id"])
+    with small_batches(docs.sparkSession):
+        rows = picked.mapInArrow(run, "id long, y int, f binary").collect()
+    rows.sort(key=lambda r: r["id"])
+    labels_ = np.array([r["y"] for r in rows], np.float64)
+    found = [np.frombuffer(r["f"], "<i4") for r in rows]
+    del rows
+    return fit(found, labels_)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; a null text is empty. Only the text matters."""
+    """doc_id and score (0 to 1) of every row; only the text matters. A null text is empty and has a
+    score too, texts of any length are read whole, repeated and null doc_ids are rows of their own, and
+    an empty table gives no rows. Other columns are ignored."""
 
     def run(rows):
         forget()
@@ -138,7 +155,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores below ``threshold``."""
+    """The rows, with all their columns (whatever their names), whose text scores below ``threshold``.
+    A null text is empty; repeated rows and null doc_ids are judged each; an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(rows):
