@@ -3,12 +3,12 @@
 A package holds stored (not compressed) members:
 
     archive/data.warc.gz   records, each a gzip member of its own
-    indexes/index.cdx      a line for each record: offset, length, page id
+    indexes/index.cdx      a line for each record: key, time, and its file, offset and length as JSON
     datapackage.json       counts
 
 The reader parses the end of the file, the ZIP64 end if there is one, and the central directory;
-finds where a stored member's bytes lie; reads the index; and reads records by their ranges,
-neighbouring ranges in one request.
+finds where the bytes of stored members lie; reads all indexes; and reads the records of all archives
+by their ranges, neighbouring ranges in one request. An archive that no index covers is an error.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import filesystem, put_file, workspace, written
+from barwright.llm.shared import filesystem, joined_with_one, put_file, workspace, written
 from barwright.llm.tokens import forget
 
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+DATE, _TIME = "2024-01-01T00:00:00Z", "20240101000000"
 #: Bytes of compressed records in a package, and of one range request, about.
 PACKAGE_BYTES, REQUEST_BYTES = 8 << 20, 1 << 20
 _ID = "urn:barwright:page:"
@@ -106,14 +106,30 @@ class Package:
         n, extra = struct.unpack_from("<HH", head, 26)
         return member.header + 30 + n + extra, member.size
 
-    def index(self) -> list[tuple[int, int]]:
-        start, size = self.stored_at(INDEX)
-        return [tuple(map(int, line.split(b" ")[:2])) for line in self.read(start, size).splitlines()]
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """Offset and length of each record, by archive member, in the order of the indexes."""
+        out: dict[str, list[tuple[int, int]]] = {m: [] for m, x in self.members.items() if m.startswith("archive/") and x.size}
+        for name in self.members:
+            if name.startswith("indexes/"):
+                start, size = self.stored_at(name)
+                for line in self.read(start, size).splitlines():
+                    entry = json.loads(line[line.index(b"{") :])
+                    member = "archive/" + entry["filename"]
+                    if member not in out:
+                        raise ArchiveError(f"an index names {member}, which is not there")
+                    out[member].append((int(entry["offset"]), int(entry["length"])))
+        for member, found in out.items():
+            if not found:
+                raise ArchiveError(f"no index covers {member}")
+        return out
 
     def records(self):
-        """Every record as (header fields, block), in the order of the index."""
-        base, total = self.stored_at(DATA)
-        index = self.index()
+        """Every record as (header fields, block), in the order of the indexes."""
+        for member, index in self.index().items():
+            yield from self._records(member, index)
+
+    def _records(self, member: str, index: list[tuple[int, int]]):
+        base, total = self.stored_at(member)
         i = 0
         while i < len(index):
             j, first = i, index[i][0]
@@ -166,7 +182,7 @@ def package(records: list[tuple[int | None, bytes]]) -> bytes:
     """A package of gzip members, each with its page id."""
     lines, at = [], 0
     for page_id, data in records:
-        lines.append(f"{at} {len(data)} {_name(page_id)}\n")
+        lines.append(f'{_ID}{_name(page_id)} {_TIME} {{"offset": "{at}", "length": "{len(data)}", "filename": "{DATA.rpartition("/")[2]}"}}\n')
         at += len(data)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
@@ -189,7 +205,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     Of rows with equal payloads (html in UTF-8; null: empty) of at least ``least_bytes``, that with
     the smallest page_id is a response and the others are revisits of it. Rows that repeat the
     smallest page_id are responses too; without any page_id among equal rows all are. A null page_id
-    is kept, an empty table gives no package, and other columns are ignored.
+    is kept, payloads of any length are whole, an empty table gives no package, and other columns are
+    ignored.
 
     Files have names that no other attempt uses; the list, written by Spark, has those that count.
     """
@@ -197,8 +214,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "sha1")
+    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # payloads of a very common digest stay where they are
+    rows = joined_with_one(rows, first, ["sha1"], pages.count())
     revisits = (F.length("payload") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "payload", "sha1", F.when(revisits, F.col("first")).alias("refers_to"))
 
