@@ -159,13 +159,37 @@ def test_components_of_documents(documents, hard_rows):
     want = plain_components([r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows])
     assert Counter((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == Counter(zip([r[0] for r in rows], want, strict=True))
     assert [r.component_id for r in got if r.doc_id is None] == [None]
-    kept = simhash.one_of_each(documents(hard_rows)).select("doc_id").collect()
-    assert Counter(r[0] for r in kept) == Counter({*want, None})
+    for clash in ("_kept", "row", "place", "n", "of.x"):
+        from pyspark.sql import functions as F
+
+        df = documents(hard_rows).withColumn(clash, F.lit(1))
+        kept = simhash.one_of_each(df)
+        assert kept.columns == df.columns
+        assert Counter(r[0] for r in kept.select("doc_id").collect()) == Counter({*want, None})
     assert simhash.near_duplicates(documents([])).count() == simhash.one_of_each(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("group", [4000, 40, 8])
-def test_links_against_all_pairs(spark, group):
+def test_rows_of_one_doc_id_and_several_texts(documents):
+    """They are told apart by their texts: none is lost because another is a copy of something."""
+    words = [f"w{i}" for i in range(60)]
+    copy, own, other = " ".join(words), " ".join(words[::-1]), " ".join(sorted(words, key=lambda w: w[::-1] * 2))
+    rows = [(1, copy, "en", "a"), (7, copy, "en", "a"), (7, own, "en", "a"), (7, own, "en", "a"), (7, own, "de", "a"), (9, other, "en", "a"), (None, copy, "en", "a"), (None, copy, "en", "a")]
+    got = simhash.near_duplicates(documents(rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(1, 1): 1, (7, 1): 1, (7, 7): 3, (9, 9): 1, (None, None): 2})
+    kept = simhash.one_of_each(documents(rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter({(1, copy): 1, (7, own): 1, (9, other): 1, (None, copy): 2})
+
+
+def test_a_fingerprint_of_most_rows(documents):
+    rows = [(i, "the same text of most rows" if i % 3 else f"row {i} " * 9, "en", "a") for i in range(1500)]
+    got = simhash.near_duplicates(documents(rows, clash=False)).collect()
+    fps = [plain_fingerprint(t) for _, t, *_ in rows]
+    assert {r.doc_id: r.fp % 2**64 for r in got} == dict(enumerate(fps))
+    assert {r.component_id for r in got if r.doc_id % 3} == {1}
+
+
+@pytest.mark.parametrize("group, at_once", [(4000, 100_000), (40, 50), (8, 100_000)])
+def test_links_against_all_pairs(spark, group, at_once):
     """With small groups, also the second deal and the pieces of large groups."""
     draw = np.random.default_rng(5)
     base = draw.integers(0, 2**63, 6, dtype=np.int64)
@@ -175,7 +199,7 @@ def test_links_against_all_pairs(spark, group):
             fps[i] ^= 1 << int(draw.integers(0, 63))
     fps = list(dict.fromkeys(fps))
     df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
-    found = {r.id: r.component for r in simhash.components(simhash.links(df, group=group)).collect()}
+    found = {r.id: r.component for r in simhash.components(simhash.links(df, group=group, at_once=at_once)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == plain_components(range(len(fps)), fps)
 
 

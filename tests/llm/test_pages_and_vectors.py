@@ -57,7 +57,7 @@ def test_zip64_directory(monkeypatch):
 def test_comment_damage_and_packed_members():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(warc.INDEX, "0 1\n" * 50)
+        z.writestr(warc.INDEX, '- 0 {"offset": "0", "length": "1", "filename": "x"}\n' * 50)
         z.comment = b"a comment with PK\x05\x06 in it" + b"\0" * 30
     p = open_bytes(out.getvalue())
     with pytest.raises(warc.ArchiveError):
@@ -66,6 +66,32 @@ def test_comment_damage_and_packed_members():
         open_bytes(b"no archive" * 10)
 
 
+def test_several_archives_and_one_that_no_index_covers():
+    def member(i):
+        return warc.gzip_member(warc.record(i, "u", b"x" * i, warc.digest(b"x" * i)))
+
+    def packed(covered):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i in (3, 5):
+                z.writestr(f"archive/part-{i}.warc.gz", member(i))
+                if i in covered:
+                    z.writestr(f"indexes/part-{i}.cdx", f'- 0 {{"offset": "0", "length": "{len(member(i))}", "filename": "part-{i}.warc.gz"}}\n')
+        return open_bytes(out.getvalue())
+
+    assert [len(b.rpartition(b"\r\n\r\n")[2]) for _, b in packed((3, 5)).records()] == [3, 5]
+    for covered in ((3,), ()):
+        with pytest.raises(warc.ArchiveError):
+            list(packed(covered).records())
+
+
+def test_a_very_common_payload(spark):
+    """Over a thousandth of all rows: its payloads are not shuffled to one task."""
+    df = spark.createDataFrame([(i, "u", "" if i % 3 else f"own {i}") for i in range(3000)], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(df)).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to): r["count"] for r in got} == {("response", None): 1001, ("revisit", 1): 1999}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, "q", 1.0) for i, v in rows], "vec_id long, embedding array<float>, label int, gid string, score double")
 
@@ -88,7 +114,7 @@ def test_nearest_against_all_rows(spark):
     rows += [(400 + i, rows[20][1]) for i in range(90)]  # more copies than a result has rows
     odd = [(1000, None), (1020, [0.0] * 24), (1040, [float("nan")] + [1.0] * 23), (1060, [float("inf")] + [1.0] * 23), (1080, [1.0, 2.0]), (1100, [None] + [1.0] * 23), (1120, [])]
     got = {}
-    for r in neighbours.nearest(vectors(spark, rows + odd + rows[:3]), part=150).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(vectors(spark, rows + odd + rows[:3]), part_bytes=150 * 24 * 8).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = exact(rows, 20)
     assert set(got) == set(want)
@@ -126,3 +152,18 @@ def test_recall_on_other_norms_and_dimensions(kind):
         assert len(own) == 20
         found += len({*own} & {x for x in np.argsort(-(v @ v[i]))[:21] if x != i})
     assert found >= 0.95 * 20 * len(asked)
+    assert part.scans or part.visited < 0.8 * len(v) * len(asked)  # only rows of visited buckets are looked at
+
+
+def test_candidates_are_the_rows_of_visited_buckets():
+    draw = np.random.default_rng(3)
+    v = draw.normal(size=(500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hashes = neighbours.Hashes(16)
+    index = neighbours.Range(hashes, np.arange(500), v, 1.0)
+    probes, _, _ = hashes.probes(v[:20], 40)
+    codes = hashes.codes(v, 1.0)
+    for j in range(20):
+        want = [i for i in range(500) if any(codes[t, i] in probes[t, j] for t in range(len(codes)))]
+        assert index.candidates(probes[:, j]).tolist() == want and len(want) < 500
+        assert codes[0, j] == probes[0, j, 0]  # the own bucket comes first
