@@ -2,8 +2,8 @@
 
 Two histograms are compared with the language's by Jensen-Shannon distance (base 2, 0 to 1): classes
 of characters, and common words. A distance counts only for texts long enough for it. The references
-are the sums over all texts of the language in the table. Base rules (shortness, repeated 3-word
-windows) fail a text whatever its distances.
+are the sums over all texts of the language in the table that pass the base rules (shortness,
+repeated 3-word windows), if they are enough. The base rules fail a text whatever its distances.
 
 DataFrame functions only, a row at a time; only sums by language are gathered.
 """
@@ -29,6 +29,8 @@ BASE_WORDS, REPEAT_PERCENT = 50, 50
 #: Words from which a distance counts, and the distance above which a text fails.
 CHAR_WORDS, CHAR_LIMIT = 50, 0.30
 COMMON_WORDS, COMMON_LIMIT = 100, 0.30
+#: Texts that pass the base rules from which a language has a reference: one text is then a small part of it.
+LEAST_TEXTS = 20
 _PLACE = 24
 
 
@@ -110,14 +112,16 @@ def js_distance(p: Column, q: Column) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, distances and verdict of every row.
 
-    A null text is empty and fails for shortness. Languages without a list of common words, and
-    null, have no reference: only the base rules hold. Repeated and null doc_ids are rows of their
-    own; an empty table gives none. Other columns are ignored.
+    A null text is empty and fails for shortness; texts of any length are read whole. Languages
+    without a list of common words or with under ``LEAST_TEXTS`` texts, and null, have no reference:
+    only the base rules hold. Repeated and null doc_ids are rows of their own; an empty table gives
+    none. Other columns are ignored.
     """
     m = written(measure(docs), "quality")
-    known = m.where(F.col("lang").isin(*COMMON))
+    base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    known = m.where(F.col("lang").isin(*COMMON) & ~base)
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(20)]
-    ref = known.groupBy("lang").agg(*sums, F.sum("n_words").alias("all_words"))
+    ref = known.groupBy("lang").agg(*sums, F.sum("n_words").alias("all_words"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
     ref = ref.select(
         F.col("lang").alias("ref_lang"),
         _shares(F.array(*[f"c{i}" for i in range(len(CLASSES))])).alias("ref_classes"),
@@ -125,7 +129,6 @@ def judge(docs: DataFrame) -> DataFrame:
     )
     # one row for each language of COMMON at most
     j = m.join(F.broadcast(ref), m["lang"] == ref["ref_lang"], "left")
-    base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     j = j.withColumn("own_classes", _shares(F.col("classes"))).withColumn("own_common", _shares(_plus_rest(F.col("common"), F.col("n_words"))))
     j = j.withColumn("char_distance", F.when(F.col("ref_lang").isNotNull() & (F.col("n_words") >= CHAR_WORDS), js_distance(F.col("own_classes"), F.col("ref_classes"))))
     j = j.withColumn("common_distance", F.when(F.col("ref_lang").isNotNull() & (F.col("n_words") >= COMMON_WORDS), js_distance(F.col("own_common"), F.col("ref_common"))))

@@ -100,13 +100,14 @@ def _quality_sql() -> str:
     def count(pattern: str) -> str:
         return f"length(regexp_replace(t, '[^{pattern}]', '', 'g'))"
 
+    failed = f"n_words<{quality.BASE_WORDS} or 100*n_repeat_words>{quality.REPEAT_PERCENT}*n_words"
     common = ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in quality.COMMON.items() for i, w in enumerate(words))
 
     def distance(kind: str) -> str:
         part = "case when {0}>0 then {0}*log2(2*{0}/(p+q)) else 0 end"
         return (
             f"select key, sqrt(greatest(0, sum({part.format('p')}+{part.format('q')})/2)) dist from (select h.key, h.n/nullif(sum(h.n) over (partition by h.key),0) p, r.n/sum(r.n) over (partition by h.key) q"
-            f" from {kind} h join (select lang, bin, sum(n) n from {kind} group by all) r on r.lang=h.lang and r.bin=h.bin) group by key"
+            f" from {kind} h join (select {kind}.lang, bin, sum(n) n from {kind} join good using (key) group by all) r on r.lang=h.lang and r.bin=h.bin) group by key"
         )
 
     return f"""
@@ -118,6 +119,7 @@ rep as (select key, i from (select key, i, count(*) over (partition by key, w, w
 cov as (select key, count(distinct j) n from (select key, unnest([i, i+1, i+2]) j from rep) group by key),
 base as (select d.*, len(ws) n_words, {count("#*$%&|<>")} n_symbols, length(t)-length(regexp_replace(t, '{space}', '', 'g')) n_space, len(ls)-len(list_distinct(ls)) n_dup_lines, coalesce(cov.n, 0) n_repeat_words
  from d join l using (key) left join cov using (key)),
+good as (select key from base where not ({failed}) qualify count(*) over (partition by lang)>={quality.LEAST_TEXTS}),
 cls as (select key, lang, unnest([0,1,2,3,4,5]) bin, unnest([u, g, m, n_symbols, n_space, length(t)-u-g-m-n_symbols-n_space]) n from (
  select *, {count("A-Z")} u, {count("0-9")} g, length(t)-length(translate(t, '!"(),-./:;?[]{{}}' || chr(39), '')) m from base) where lang in ('en', 'de', 'fr', 'es')),
 ref(lang, bin, word) as (values {common}),
@@ -127,7 +129,7 @@ com as (select d.key, d.lang, ref.bin, coalesce(hits.n, 0) n from d join ref on
 far as (select b.key, coalesce(n_words>={quality.CHAR_WORDS} and c.dist>{quality.CHAR_LIMIT}, false) or coalesce(n_words>={quality.COMMON_WORDS} and m.dist>{quality.COMMON_LIMIT}, false) far
  from base b left join ({distance("cls")}) c on c.key=b.key left join ({distance("com")}) m on m.key=b.key)
 select doc_id, n_words::bigint n_words, (length(t)-n_space)::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words,
- n_words<{quality.BASE_WORDS} or 100*n_repeat_words>{quality.REPEAT_PERCENT}*n_words base_failed, not (n_words<{quality.BASE_WORDS} or 100*n_repeat_words>{quality.REPEAT_PERCENT}*n_words) and not far kept
+ {failed} base_failed, not ({failed}) and not far kept
 from base join far using (key)
 """
 

@@ -439,6 +439,16 @@ def test_quality_counts_and_verdicts(documents, hard_rows):
     assert quality.judge(documents(hard_rows)).count() == len(hard_rows) and quality.judge(documents([])).count() == 0
 
 
+def test_references_need_enough_texts(documents):
+    """With few texts of a language only the base rules hold; texts that fail them are in no reference."""
+    odd = " ".join(f"#{i}$ %%% &{i}" for i in range(100))
+    plain = [(i, f"The cat of the house {i} and a dog that was by it is in to for. " + " ".join(f"thing{i}x{j}" for j in range(60)), "en", "x") for i in range(40)]
+    junk = [(500 + i, "#a #b #c #d " * 40, "en", "x") for i in range(200)]
+    few = {r.doc_id: r.kept for r in quality.judge(documents([*plain[: quality.LEAST_TEXTS - 2], (100, odd, "en", "x"), *junk])).collect()}
+    many = {r.doc_id: r.kept for r in quality.judge(documents([*plain, (100, odd, "en", "x"), *junk])).collect()}
+    assert few[100] and few[0] and not many[100] and all(many[i] for i in range(40)) and not any(many[500 + i] for i in range(200))
+
+
 def test_distance_is_jensen_shannon(spark):
     from pyspark.sql import functions as F
 
