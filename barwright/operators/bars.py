@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.functions.scalars import negative, positive, ratio
+from barwright.functions.scalars import negative, positive
 
 MEASURES = ("n1b", "edge", "return", "cost", "turnover", "long_edge", "short_edge", "long_cost", "short_cost", "long_turnover", "short_turnover", "long_return", "short_return")
 
@@ -17,7 +17,6 @@ def bar_transitions(weights: DataFrame, fee: float = 0.0002) -> DataFrame:
     w = weights.withColumns({"prev_price": F.lag("price").over(by), "prev_weight": F.lag("weight").over(by)})
     w = w.where("prev_weight is not null")
     prev, now = F.col("prev_weight"), F.col("weight")
-    w = w.withColumn("n1b", ratio(F.col("price") - F.col("prev_price"), F.col("prev_price")))
     w = w.withColumn("n1b", F.when(F.col("prev_price") != 0, F.col("price") / F.col("prev_price") - 1).otherwise(0.0))
     sides = {"": (prev, now), "long_": (positive(prev), positive(now)), "short_": (negative(prev), negative(now))}
     columns = [F.col("n1b")]

@@ -3,7 +3,7 @@
 With last-in-first-out matching, unit k of a side opens when the side's volume rises through k and
 closes when it next falls through k. So trades are pairs of consecutive crossings of a level, with
 no stack to keep. Levels between which a symbol's volume never stops are crossed together, so one
-interval stands for all of them.
+interval stands for all of them: a bar makes a row for each interval that it crosses, and no more.
 """
 
 from __future__ import annotations
@@ -21,15 +21,21 @@ def trades(weights: DataFrame, digits: int = 2) -> DataFrame:
     bars = weights.select("symbol", "dt", "price", F.row_number().over(by).cast("long").alias("bar"), F.round(F.col("weight") * 10.0**digits).cast("long").alias("vol"))
     sides = F.explode(F.array(F.struct(F.lit("long").alias("dir"), F.lit(1).alias("sign")), F.struct(F.lit("short").alias("dir"), F.lit(-1).alias("sign"))))
     s = bars.withColumn("x", sides).select("symbol", "x.dir", "bar", "dt", "price", F.greatest(F.col("vol") * F.col("x.sign"), F.lit(0)).alias("now"))
-    s = s.withColumn("was", F.coalesce(F.lag("now").over(Window.partitionBy("symbol", "dir").orderBy("bar")), F.lit(0))).where("now <> was")
-    stops = s.select("symbol", "dir", F.explode(F.array("now", "was")).alias("hi")).distinct()
-    steps = stops.withColumn("lo", F.lag("hi").over(Window.partitionBy("symbol", "dir").orderBy("hi"))).where("lo is not null")
-    x = s.join(steps.hint("shuffle_hash"), ["symbol", "dir"]).where((F.col("lo") >= F.least("now", "was")) & (F.col("hi") <= F.greatest("now", "was")))
-    at = Window.partitionBy("symbol", "dir", "lo").orderBy("bar")
+    # levels are numbered by the volumes at which a symbol's side ever stops; 0 is one of them
+    side = Window.partitionBy("symbol", "dir")
+    s = s.withColumn("level", F.dense_rank().over(side.orderBy("now")) - F.when(F.min("now").over(side) > 0, 0).otherwise(1))
+    by_bar = side.orderBy("bar")
+    s = s.withColumn("from", F.coalesce(F.lag("level").over(by_bar), F.lit(0)))
+    widths = s.groupBy("symbol", "dir", "level").agg(F.first("now").alias("top"))
+    widths = widths.select("symbol", "dir", "level", (F.col("top") - F.coalesce(F.lag("top").over(side.orderBy("level")), F.lit(0))).alias("width")).where("level > 0")
+    # a bar crosses the levels between its stop and the one before
+    s = s.where("level <> from").withColumn("opens", F.col("level") > F.col("from"))
+    x = s.withColumn("level", F.explode(F.sequence(F.least("level", "from") + 1, F.greatest("level", "from"))))
+    at = Window.partitionBy("symbol", "dir", "level").orderBy("bar")
     x = x.withColumns({"close_bar": F.lead("bar").over(at), "close_dt": F.lead("dt").over(at), "close_px": F.lead("price").over(at)})
-    x = x.where("now > was and close_bar is not null")
+    x = x.where("opens and close_bar is not null").join(widths, ["symbol", "dir", "level"])
     t = x.groupBy("symbol", "dir", F.col("bar").alias("open_bar"), "close_bar").agg(
-        F.first("dt").alias("open_dt"), F.first("close_dt").alias("close_dt"), F.first("price").alias("open_px"), F.first("close_px").alias("close_px"), F.sum(F.col("hi") - F.col("lo")).alias("count")
+        F.first("dt").alias("open_dt"), F.first("close_dt").alias("close_dt"), F.first("price").alias("open_px"), F.first("close_px").alias("close_px"), F.sum("width").alias("count")
     )
     sign = F.when(F.col("dir") == "long", 1.0).otherwise(-1.0)
     gain = F.when(F.col("open_px") == 0, 0.0).otherwise(rnd(ratio((F.col("close_px") - F.col("open_px")) * sign, F.col("open_px")) * 10000.0, 2))
@@ -75,21 +81,23 @@ EVALUATION = (
 )
 
 
-def evaluate(pairs: DataFrame, directions: tuple[str, ...] = ("all", "long", "short")) -> DataFrame:
+def evaluate(pairs: DataFrame, directions: tuple[str, ...] = ("all", "long", "short"), groups: DataFrame | None = None) -> DataFrame:
     """A row for each of ``directions`` (all zeros where there is no trade), weighted by count.
 
     Trades are first summed by direction and profit, so that the order-dependent break-even point is
-    found over distinct profits, not trades.
+    found over distinct profits, not trades. With ``groups`` (a row for each value of its one column,
+    which ``pairs`` has too) there is a row for each group and direction.
     """
+    by = [*(groups.columns if groups is not None else []), "side"]
     each = pairs.where("count > 0").withColumn("side", F.explode(F.array(F.lit("all"), F.col("dir")))).where(F.col("side").isin(*directions))
-    level = each.groupBy("side", "profit_bp").agg(F.sum("count").cast("double").alias("c"), F.sum(F.col("hold_bars") * F.col("count")).alias("bars"))
-    before = Window.partitionBy("side").orderBy("profit_bp").rowsBetween(Window.unboundedPreceding, -1)
+    level = each.groupBy(*by, "profit_bp").agg(F.sum("count").cast("double").alias("c"), F.sum(F.col("hold_bars") * F.col("count")).alias("bars"))
+    before = Window.partitionBy(*by).orderBy("profit_bp").rowsBetween(Window.unboundedPreceding, -1)
     p, c = F.col("profit_bp"), F.col("c")
     level = level.withColumns({"gained": F.coalesce(F.sum(p * c).over(before), F.lit(0.0)), "seen": F.coalesce(F.sum("c").over(before), F.lit(0.0))})
     need = F.when(p <= 0, c).otherwise(F.least(F.greatest(F.ceil(ratio(-F.col("gained"), p)).cast("double"), F.lit(1.0)), c))
     level = level.withColumn("even", F.when(F.col("gained") + p * need >= 0, F.col("seen") + need))
     win = p >= 0
-    s = level.groupBy("side").agg(
+    s = level.groupBy(*by).agg(
         F.sum("c").alias("n"),
         F.sum(F.when(win, c).otherwise(0.0)).alias("wins"),
         F.sum(F.when(win, p * c).otherwise(0.0)).alias("won"),
@@ -98,8 +106,9 @@ def evaluate(pairs: DataFrame, directions: tuple[str, ...] = ("all", "long", "sh
         F.sum("bars").alias("bars"),
         F.min("even").alias("even"),
     )
-    sides = pairs.sparkSession.createDataFrame([(d,) for d in directions], "side string")
-    s = sides.join(s, "side", "left").fillna(0.0, ["n", "wins", "won", "losses", "lost"]).fillna(0, ["bars"])
+    spark = pairs.sparkSession
+    sides = spark.range(1).select(F.explode(F.array(*map(F.lit, directions))).alias("side")) if groups is None else groups.withColumn("side", F.explode(F.array(*map(F.lit, directions))))
+    s = sides.join(s, by, "left").fillna(0.0, ["n", "wins", "won", "losses", "lost"]).fillna(0, ["bars"])
     n, total = F.col("n"), F.col("won") + F.col("lost")
     win_one, loss_one = ratio(F.col("won"), F.col("wins")), ratio(F.col("lost"), F.col("losses"))
     metrics = {
@@ -118,7 +127,7 @@ def evaluate(pairs: DataFrame, directions: tuple[str, ...] = ("all", "long", "sh
         "break_even_point": F.when(n == 0, 0.0).when(total <= 0, 1.0).otherwise(rnd(ratio(F.coalesce("even", n), n), 4)),
         "position_k_days": rnd(ratio(F.col("bars").cast("double"), n), 2),
     }
-    return s.select("side", *[c.alias(k) for k, c in metrics.items()])
+    return s.select(*by, *[c.alias(k) for k, c in metrics.items()])
 
 
 def aggregated(pairs: DataFrame) -> DataFrame:
@@ -132,28 +141,24 @@ def aggregated(pairs: DataFrame) -> DataFrame:
 
 def holding_segments(agg: DataFrame) -> DataFrame:
     """Trades of a symbol and direction that share an open or a close, directly or through others,
-    become one: the longest (then the earlier opened) stands for all, counts add up."""
-
-    def merge(pdf):
-        import numpy as np
-
-        _, opened = np.unique(pdf["open_dt"].to_numpy(), return_inverse=True)
-        _, closed = np.unique(pdf["close_dt"].to_numpy(), return_inverse=True)
-        label = np.arange(len(pdf))
-        while True:
-            start = label
-            for key in (opened, closed):
-                least = np.full(key.max() + 1, len(pdf))
-                np.minimum.at(least, key, label)
-                label = least[key]
-            if (label == start).all():
-                break
-        pdf = pdf.assign(label=label).sort_values(["label", "hold_bars", "open_dt", "close_dt"], ascending=[True, False, True, True], kind="stable")
-        out = pdf.drop_duplicates("label").set_index("label")
-        out["count"] = pdf.groupby("label")["count"].sum()
-        return out.reset_index(drop=True)
-
-    return agg.groupBy("symbol", "dir").applyInPandas(merge, agg.schema)
+    become one: the longest stands for all, counts add up.
+
+    Last-in-first-out trades lie apart or within each other. So the longest of those that are linked
+    spans them all: it is the longest both from its open and to its close. Every other trade belongs
+    to the innermost such span around it, which a running depth of spans tells.
+    """
+    by = ["symbol", "dir"]
+    last, first = F.max("close_dt").over(Window.partitionBy(*by, "open_dt")), F.min("open_dt").over(Window.partitionBy(*by, "close_dt"))
+    t = agg.withColumn("_spans", (F.col("close_dt") == last) & (F.col("open_dt") == first))
+    ends = t.where("_spans").select(*by, F.col("close_dt").alias("_at"), F.lit(-1).alias("_step"))
+    rows = t.withColumns({"_at": F.col("open_dt"), "_step": F.col("_spans").cast("int")}).unionByName(ends, allowMissingColumns=True)
+    # all that happens at one time counts: a side's opens and closes are at different bars
+    so_far = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_depth", F.sum("_step").over(so_far)).where("open_dt is not null")
+    nth = Window.partitionBy(*by, "_depth").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_nth", F.sum(F.col("_spans").cast("int")).over(nth))
+    rows = rows.withColumn("count", F.sum("count").over(Window.partitionBy(*by, "_depth", "_nth")))
+    return rows.where("_spans").select(*agg.columns)
 
 
 def key_trades(segments: DataFrame, top: int = 3) -> DataFrame:

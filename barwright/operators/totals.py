@@ -48,14 +48,14 @@ def weight_rows(weights: DataFrame) -> DataFrame:
     return weights.groupBy(F.to_date("dt").alias("date")).agg(F.count_if(w > 0).alias("n_long"), F.count_if(w < 0).alias("n_short"), F.count("*").alias("n_rows"))
 
 
-def rates(rows: DataFrame) -> DataFrame:
-    """One row: long_rate and short_rate, shares of all weight rows."""
-    s = rows.agg(F.sum("n_long").alias("l"), F.sum("n_short").alias("s"), F.sum("n_rows").alias("n"))
+def rates(rows: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each group): long_rate and short_rate, shares of all weight rows."""
+    s = rows.groupBy(*group).agg(F.sum("n_long").alias("l"), F.sum("n_short").alias("s"), F.sum("n_rows").alias("n"))
 
     def share(c: str) -> Column:
         return F.when(F.col("n") > 0, rnd(F.col(c) / F.col("n"), 4)).otherwise(0.0)
 
-    return s.select(share("l").alias("long_rate"), share("s").alias("short_rate"))
+    return s.select(*group, share("l").alias("long_rate"), share("s").alias("short_rate"))
 
 
 def effective_range(totals: DataFrame, rows: DataFrame) -> DataFrame:
@@ -114,15 +114,13 @@ def period_key(period: str) -> Column:
 
 def win_rates(rows: DataFrame, group: list[str], ret: str = "ret", yearly_days: int = 252) -> DataFrame:
     """Shares of weeks, months, quarters and years whose sum is above 0. A year counts from half of
-    ``yearly_days`` on. One pass sums by day-of-all-periods; each period then sums few rows."""
-    out = None
-    for period in ("week", "month", "quarter", "year"):
-        sums = rows.groupBy(*group, period_key(period).alias("p")).agg(F.sum(ret).alias("s"), F.count("*").alias("n"))
-        if period == "year":
-            sums = sums.where(F.col("n") >= yearly_days // 2)
-        rate = sums.groupBy(*group).agg(rnd(F.avg((F.col("s") > 0).cast("double")), 4).alias(f"{period}_win_rate"))
-        out = rate if out is None else out.join(rate, group, "left")
-    return out.fillna(0.0, [f"{p}_win_rate" for p in ("week", "month", "quarter", "year")])
+    ``yearly_days`` on. One pass sums the rows by each of their periods, another the periods."""
+    periods = ("week", "month", "quarter", "year")
+    keys = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), period_key(p).alias("key")) for p in periods]))
+    sums = rows.select(*group, F.col(ret).alias("_r"), keys.alias("_p")).groupBy(*group, "_p").agg(F.sum("_r").alias("s"), F.count("*").alias("n"))
+    won = F.when((F.col("_p.period") != "year") | (F.col("n") >= yearly_days // 2), (F.col("s") > 0).cast("double"))
+    rates_ = [F.coalesce(rnd(F.avg(F.when(F.col("_p.period") == p, won)), 4), F.lit(0.0)).alias(f"{p}_win_rate") for p in periods]
+    return sums.groupBy(*group).agg(*rates_)
 
 
 def curves(rows: DataFrame, group: list[str], ret: str = "ret") -> DataFrame:

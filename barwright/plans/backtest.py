@@ -45,22 +45,30 @@ STATS = (
 ALPHA_STATS = ("absolute_return", "annual_return", "sharpe", "calmar", "new_high_ratio", "daily_win_rate", "week_win_rate", "month_win_rate", "quarter_win_rate", "year_win_rate", "max_drawdown", "annual_volatility", "downside_volatility", "new_high_interval")
 
 
-def stats_table(rows: DataFrame, trades: DataFrame, weight_rows: DataFrame, symbols: DataFrame, yearly_days: int = 252, snap: int | None = None) -> DataFrame:
-    """A row for each side of ``rows`` (side: all, long, short; date, ret). Trades and rates are those
-    of the side; the rate of the other direction is 0."""
-    perf = performance.daily_performance(rows, ["side"], yearly_days=yearly_days, snap=snap)
-    wins = totals.win_rates(rows, ["side"], yearly_days=yearly_days)
-    days = rows.groupBy("side").agg(F.count("*").alias("n_days"))
-    ev = pairs.evaluate(trades).select("side", "single_profit_loss_ratio", "single_trade_profit", "trade_count", "position_k_days", F.col("win_rate").alias("trade_win_rate"))
-    one = totals.rates(weight_rows).join(symbols.agg(F.countDistinct("symbol").alias("symbols_count")))  # a row each
-    out = perf.join(wins, "side").join(days, "side").join(ev, "side", "left").join(F.broadcast(one))
+def stats_table(
+    rows: DataFrame, trades: DataFrame, weight_rows: DataFrame, symbols: DataFrame, yearly_days: int = 252, snap: int | None = None, kinds: tuple[str, ...] = tuple(KINDS), groups: DataFrame | None = None
+) -> DataFrame:
+    """A row for each side of ``rows`` (side: those of ``kinds``; date, ret). Trades and rates are
+    those of the side; the rate of the other direction is 0. With ``groups`` (a row for each value of
+    its one column, which ``rows``, ``trades`` and ``weight_rows`` have too), a row for each of these
+    and side."""
+    more = tuple(groups.columns) if groups is not None else ()
+    by = [*more, "side"]
+    perf = performance.daily_performance(rows, by, yearly_days=yearly_days, snap=snap)
+    wins = totals.win_rates(rows, by, yearly_days=yearly_days)
+    days = rows.groupBy(*by).agg(F.count("*").alias("n_days"))
+    ev = pairs.evaluate(trades, kinds, groups).select(*by, "single_profit_loss_ratio", "single_trade_profit", "trade_count", "position_k_days", F.col("win_rate").alias("trade_win_rate"))
+    count = symbols.agg(F.countDistinct("symbol").alias("symbols_count"))  # one row, as are the rates of a group
+    one = totals.rates(weight_rows, more).join(count)
+    out = perf.join(wins, by).join(days, by).join(ev, by, "left")
+    out = out.join(F.broadcast(one), list(more), "left") if more else out.join(F.broadcast(one))
     out = out.withColumn("annual_trade_count", rnd(ratio(F.col("trade_count"), F.col("n_days") / float(yearly_days)), 2))
     out = out.withColumn("long_rate", F.when(F.col("side") == "short", 0.0).otherwise(F.col("long_rate")))
     return out.withColumn("short_rate", F.when(F.col("side") == "long", 0.0).otherwise(F.col("short_rate")))
 
 
-def sides(daily_totals: DataFrame) -> DataFrame:
-    return totals.series(daily_totals.withColumnRenamed("total", "all"), "all", "long", "short")
+def sides(daily_totals: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    return totals.series(daily_totals.withColumnRenamed("total", "all"), *kinds)
 
 
 class Backtest:
@@ -161,8 +169,7 @@ class Backtest:
         start, end = date_of(start) or first, date_of(end) or last
         inside = F.col("date").between(F.lit(start), F.lit(end))
         rows = totals.daily_totals(self.dailys.where(inside), self.weight_type)
-        table = stats_table(sides(rows), pairs.between(self.pairs, start, end), self.weight_rows.where(inside), self.weights, self.yearly_days)
-        found = table.where(F.col("side") == side).first()
+        found = stats_table(sides(rows, (side,)), pairs.between(self.pairs, start, end), self.weight_rows.where(inside), self.weights, self.yearly_days, kinds=(side,)).first()
         out = _zeros(found, self.symbols) | {"start_date": start.isoformat(), "end_date": end.isoformat()}
         return {k: out[k] for k in STATS}
 

@@ -301,7 +301,7 @@ def key_trades(spark, folder):
 
 def _stats(spark, folder, side):
     w = w1(spark, folder)
-    return backtest.stats_table(backtest.sides(tot(spark, folder)), pairs.trades(w), totals.weight_rows(w), w, YEAR, SNAP).where(F.col("side") == side).select("side", *backtest.STATS[:-2])
+    return backtest.stats_table(backtest.sides(tot(spark, folder), (side,)), pairs.trades(w), totals.weight_rows(w), w, YEAR, SNAP, (side,)).select("side", *backtest.STATS[:-2])
 
 
 @query
@@ -321,15 +321,19 @@ def short_stats(spark, folder):
 
 @query
 def segment_stats(spark, folder):
-    """Three segments of time of all three sides."""
-    out = None
-    w, d = w1(spark, folder), days(spark, folder)
-    for first, last in (("1995-01-01", "1996-12-31"), ("1997-01-01", "1998-12-31")):
-        inside = f"date between date '{first}' and date '{last}'"
-        one = backtest.stats_table(backtest.sides(totals.daily_totals(d.where(inside))), pairs.between(pairs.trades(w), first, last), totals.weight_rows(w).where(inside), w, YEAR, SNAP)
-        one = one.select("side", *backtest.STATS[:-2], F.lit(first).alias("start_date"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Two segments of time, of all three sides: the segment is a group, trades are matched once."""
+    bounds = [("1995-01-01", "1996-12-31"), ("1997-01-01", "1998-12-31")]
+    array = F.array(*[F.struct(F.lit(a).alias("start_date"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for a, b in bounds])
+
+    def within(df, first, last):
+        inside = F.filter(array, lambda s: (F.to_date(first) >= s["a"]) & (F.to_date(last) <= s["b"]))
+        return df.withColumn("start_date", F.explode(F.transform(inside, lambda s: s["start_date"])))
+
+    w = w1(spark, folder)
+    rows = within(backtest.sides(totals.daily_totals(days(spark, folder))), "date", "date")
+    groups = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a, _ in bounds])).alias("start_date"))
+    out = backtest.stats_table(rows, within(pairs.trades(w), "open_dt", "close_dt"), within(totals.weight_rows(w), "date", "date"), w, YEAR, SNAP, groups=groups)
+    return out.select("side", *backtest.STATS[:-2], "start_date")
 
 
 @query
