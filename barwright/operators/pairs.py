@@ -21,6 +21,9 @@ def trades(weights: DataFrame, digits: int = 2) -> DataFrame:
     bars = weights.select("symbol", "dt", "price", F.row_number().over(by).cast("long").alias("bar"), F.round(F.col("weight") * 10.0**digits).cast("long").alias("vol"))
     sides = F.explode(F.array(F.struct(F.lit("long").alias("dir"), F.lit(1).alias("sign")), F.struct(F.lit("short").alias("dir"), F.lit(-1).alias("sign"))))
     s = bars.withColumn("x", sides).select("symbol", "x.dir", "bar", "dt", "price", F.greatest(F.col("vol") * F.col("x.sign"), F.lit(0)).alias("now"))
+    # dealt by side of a symbol, for all that follows. The number is given, so that few bytes are not
+    # joined into few tasks: crossings are many times the bars
+    s = s.repartition(int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "dir")
     # levels are numbered by the volumes at which a symbol's side ever stops; 0 is one of them
     side = Window.partitionBy("symbol", "dir")
     s = s.withColumn("level", F.dense_rank().over(side.orderBy("now")) - F.when(F.min("now").over(side) > 0, 0).otherwise(1))

@@ -5,11 +5,15 @@ The group columns carry side, segment, year or rolling row, so all uses share on
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalars import EPSILON, clamp, ratio, rnd, snapped
 
+log = logging.getLogger(__name__)
+
 METRICS = (
     "absolute_return",
     "annual_return",
@@ -162,7 +166,11 @@ def yearly_days_of(dates: DataFrame, name: str = "date") -> DataFrame:
 
 
 def infer_yearly_days(dates: DataFrame, name: str = "date") -> int:
-    found = yearly_days_of(dates, name).first()[0]
+    """The same as a number; warns where the dates span under a year, and 252 is but the usual."""
+    days = dates.select(F.col(name).cast("date").alias("d"))
+    found, span = yearly_days_of(days, "d").join(days.agg(F.datediff(F.max("d"), F.min("d")).alias("span"))).first()  # a row each
     if found is None:
         raise ValueError("no dates")
+    if span < 365:
+        log.warning("dates span %d days, under a year: 252 days a year are taken", span)
     return found

@@ -69,7 +69,11 @@ def strategy_summary(df: DataFrame) -> DataFrame:
 
 def log_strategy(name: str, df: DataFrame) -> None:
     rows = strategy_summary(df).orderBy("symbol").collect()  # a row for each symbol
-    log.info("%s: %d rows, %d symbols, %s to %s", name, sum(r.n_rows for r in rows), len(rows), min((r.first_dt for r in rows), default=None), max((r.last_dt for r in rows), default=None))
+    if not rows:
+        log.warning("%s: no rows", name)
+        return
+    times = df.agg(F.countDistinct("dt")).first()[0]
+    log.info("%s: %d rows, %d symbols, %d points in time, %s to %s", name, sum(r.n_rows for r in rows), len(rows), times, min((r.first_dt for r in rows), default=None), max((r.last_dt for r in rows), default=None))
     for r in rows:
         log.info("%s: %d rows, weight %s to %s, mean %s", r.symbol, r.n_rows, r.min_weight, r.max_weight, r.mean_weight)
         if r.n_null:

@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from barwright.functions.scalars import rnd
 
 REQUIRED = ("symbol", "dt", "weight", "price")
+_TIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 CSV = "dt string, symbol string, weight double, price double"
 
 
 def as_timestamp(df: DataFrame, name: str = "dt"):
-    """The column as a timestamp without zone. Whole numbers are epoch seconds; strings are
-    ``yyyy-MM-dd HH:mm:ss``, and anything else in a string is an error."""
+    """The column as a timestamp without zone. Whole numbers are epoch seconds; in a string the first
+    ``yyyy-MM-dd HH:mm:ss`` counts, whatever stands around it, and a string without one is an error."""
     kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampNTZType):
         return c
@@ -26,7 +27,8 @@ def as_timestamp(df: DataFrame, name: str = "dt"):
     if isinstance(kind, T.IntegralType):
         return F.timestamp_seconds(c).cast("timestamp_ntz")
     if isinstance(kind, T.StringType):
-        return F.to_timestamp_ntz(c, F.lit("yyyy-MM-dd HH:mm:ss"))
+        found = F.regexp_extract(c, _TIME, 0)
+        return F.to_timestamp_ntz(F.when(found != "", found).otherwise(c), F.lit("yyyy-MM-dd HH:mm:ss"))
     raise ValueError(f"dt can't be of type {kind.simpleString()}")
 
 
@@ -55,8 +57,15 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if "NANOS" not in str(e):
             raise
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.parquet(path).withColumn("dt", F.timestamp_micros(F.floor(F.col("dt") / 1000)).cast("timestamp_ntz"))
+    key = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        found = spark.read.parquet(path).schema
+    finally:
+        spark.conf.set(key, before)
+    # with the schema given, whole numbers are read without the setting
+    return spark.read.schema(found).parquet(path).withColumn("dt", F.timestamp_micros(F.floor(F.col("dt") / 1000)).cast("timestamp_ntz"))
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:

@@ -124,6 +124,7 @@ def test_segments_and_key_trades(spark):
 def test_facade(spark, tmp_path):
     from barwright.plans.report import report
     from barwright.plans.result import Result, assert_same, dump_json, load_json, unwrap
+    from barwright.plans.report import CARDS, write_report
 
     w = mock.mock_weights(spark, ["A", "B"], "1d", "20200101", "20211231", seed=3)
     assert w.collect() == mock.mock_weights(spark, ["A", "B"], "1d", "20200101", "20211231", seed=3).collect()
@@ -145,8 +146,79 @@ def test_facade(spark, tmp_path):
     with pytest.raises(ValueError):
         unwrap({"format": "other"})
     page = report(result).render()
-    assert page.count("<h2>") == 15 and 'class="bad"' not in page
+    assert page.count('class="panel grid"') == 5 and page.count("<h2>") == 18 and 'class="bad"' not in page
+    assert page.count('class="card"') == len(CARDS) + 2 == 16 and "+2 sigma" in page and page.count("<footer>") == 1
+    # the last year is the last 252 dates of the whole
+    dates = result.daily["date"]
+    assert list(result.segment_comparison) == ["all", "last_year"]
+    assert result.segment_comparison["last_year"] == bt.segment_stats(dates[len(dates) - 252])
+    best = result.key_trades["best"]
+    assert set(best) == {2020, 2021} and all(len(t) == 3 and t[0]["pnl"] >= t[2]["pnl"] for t in best.values())
+    top = max(r.profit_bp for r in bt.pairs.where(F.year("close_dt") == 2020).collect())
+    assert best[2020][0]["pnl"] == pytest.approx(top / 10_000)
+    assert sum(r["n"] for r in result.pairs_dist) == bt.aggregated_pairs.count()
     bt.close()
+    assert write_report(w, str(tmp_path / "r.html"), spark=spark).endswith("r.html") and (tmp_path / "r.html").stat().st_size > 10_000
+    for bad in (w.limit(0), w.drop("price"), w.withColumn("weight", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            write_report(bad, str(tmp_path / "none.html"))
+    assert not (tmp_path / "none.html").exists()
+
+
+def test_a_panel_that_fails_says_so():
+    from barwright.plans.report import Page, bars, heatmap, histogram, lines, table
+
+    def broken():
+        raise KeyError("gone <b>")
+
+    page = Page("T").css("b{}</style>").header({"a": 1}, "s").tab("one", [("x", broken, True), ("y", lambda: "fine", False)]).table("rows", [{"a": None}]).footer("end").render()
+    assert 'class="bad">KeyError' in page and "gone &lt;b&gt;" in page and "fine" in page and page.count("</style>") == 1
+    assert table([]) == lines({}) == bars({"a": []}, []) == histogram([], 0.0, 0.0) == "<p>-</p>"
+    assert "rgba(192,57,43" in heatmap([{"year": 2020, "month": 1, "ret": 0.1}, {"year": 2020, "month": 2, "ret": -0.1}])
+    days = [dt.date(2020, 12, 30), dt.date(2020, 12, 31), dt.date(2021, 1, 4)]
+    assert lines({"a": [1.0, 2.0, 3.0]}, days).count("<line") == 1
+
+
+def test_payloads_are_checked_and_compared():
+    from barwright.plans.result import FORMAT, VERSION, assert_same, differences, faults, unwrap
+
+    good = {"format": FORMAT, "format_version": VERSION, "payload": {"a": [1, {"b": None}], "c": {}}}
+    assert unwrap(good) == good["payload"] and faults(good) == []
+    for wrong in (None, [], {**good, "format": 1}, {**good, "format_version": True}, {**good, "format_version": 1.0}, {**good, "payload": []}, {**good, "payload": {"a": [float("nan")]}}, {**good, "payload": {1: 2}}, {**good, "payload": {"a": {"b": (1,)}}}):
+        assert faults(wrong)
+        with pytest.raises(ValueError):
+            unwrap(wrong)
+    assert len(faults({})) == 3
+    assert differences({"a": 1, "b": [1, 2]}, {"a": 1.0, "b": [1]}) == [("payload.a", 1, 1.0), ("payload.b[1]", 2, "(absent)")]
+    assert_same(good, {**good})
+    with pytest.raises(AssertionError, match="payload.a"):
+        assert_same({"a": True}, {"a": 1})
+
+
+def test_linked_trades_of_nested_spans(spark):
+    """Spans within spans, apart and linked by their ends in turn."""
+    days = lambda *x: [T0 + dt.timedelta(days=i) for i in x]
+    spans = [(1, 20), (1, 9), (3, 9), (3, 5), (4, 5), (10, 15), (11, 14), (11, 13), (16, 18), (30, 40), (31, 40), (33, 36)]
+    rows = [("A", "long", *days(a, b), 1.0, 1.0, b - a + 1, 0.0, 1) for a, b in spans] + [("A", "short", *days(1, 9), 1.0, 1.0, 9, 0.0, 1)]
+    agg = spark.createDataFrame(rows, "symbol string, dir string, open_dt timestamp_ntz, close_dt timestamp_ntz, open_px double, close_px double, hold_bars long, profit_bp double, count long")
+    got = {(r.dir, (r.open_dt - T0).days, (r.close_dt - T0).days): r["count"] for r in pairs.holding_segments(agg).collect()}
+    assert got == {("long", 1, 20): 5, ("long", 10, 15): 1, ("long", 11, 14): 2, ("long", 16, 18): 1, ("long", 30, 40): 2, ("long", 33, 36): 1, ("short", 1, 9): 1}
+
+
+def test_times_within_strings(spark):
+    df = spark.createDataFrame([("at 2024-01-02 03:04:05.678 UTC",), ("2024-01-02 03:04:05",)], "dt string")
+    assert {r[0] for r in df.select(weights.as_timestamp(df)).collect()} == {dt.datetime(2024, 1, 2, 3, 4, 5)}
+    with pytest.raises(Exception, match="2024/01/02"):
+        df = spark.createDataFrame([("2024/01/02",)], "dt string")
+        df.select(weights.as_timestamp(df)).collect()
+
+
+def test_logged_warnings(spark, caplog):
+    with caplog.at_level("INFO"):
+        portfolio.log_strategy("none", table(spark, []))
+        portfolio.log_strategy("some", table(spark, [("A", T0, 0.5, 1.0), ("B", T0, 0.5, 1.0)]))
+        performance.infer_yearly_days(spark.createDataFrame([(dt.date(2024, 1, 1 + i),) for i in range(9)], "date date"))
+    assert "none: no rows" in caplog.text and "2 symbols, 1 points in time" in caplog.text and "under a year" in caplog.text
 
 
 def test_sources_and_checks(spark, tmp_path):
@@ -215,6 +287,29 @@ def test_streamed_days_equal_the_batch(spark, tmp_path):
         assert r.n == want[r.symbol].n and r.r == pytest.approx(want[r.symbol].r)
 
 
+def test_live_days_and_late_bars(spark, tmp_path):
+    from barwright.streaming.live import live_dailys, read_dailys
+
+    rows = random_rows(4, n=40)
+    df = table(spark, rows)
+    half = F.lit(T0 + dt.timedelta(hours=6 * 20))
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "c"))
+    parts = [df.where(F.col("dt") < half), df.where(F.col("dt") >= half).union(df.where("symbol = 'S0'").orderBy("dt").limit(2)), df.where("symbol = 'S1'").orderBy("dt").limit(3)]
+    parts[0].coalesce(1).write.parquet(source)
+    for i, more in enumerate(parts):
+        if i:
+            more.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        q = live_dailys(stream)(out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = read_dailys(spark, out).where("`return` is not null").collect()
+    want = {(r.symbol, r.date): r for r in bars.dailys(bars.bar_transitions(df)).collect()}
+    assert {(r.symbol, r.date) for r in got} == set(want)
+    for r in got:
+        assert r["return"] == pytest.approx(want[r.symbol, r.date]["return"]) and r.cost == pytest.approx(want[r.symbol, r.date].cost)
+    assert read_dailys(spark, out).agg(F.sum("late")).first()[0] == 2 + 3
+
+
 def test_totals(spark):
     rows = random_rows(5)
     d = bars.dailys(bars.bar_transitions(table(spark, rows)))
