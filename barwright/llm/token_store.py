@@ -137,6 +137,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     n = max(1, files.count())  # a row for each file, of some 8 million ids
 
     def decode(rows):
+        give_back()
         for batch in rows:
             for path, size, base in zip(*(batch.column(c).to_pylist() for c in ("path", "n_bytes", "base")), strict=True):
                 store, at = filesystem(path)
