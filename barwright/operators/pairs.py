@@ -8,6 +8,10 @@ interval stands for all of them: a bar makes a row for each interval that it cro
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +20,9 @@ from barwright.functions.scalars import ratio, rnd
 
 def trades(weights: DataFrame, digits: int = 2) -> DataFrame:
     """symbol, dir, open_dt, close_dt, open_px, close_px, hold_bars, event_seq, profit_bp, count (of
-    units of 10^-digits weight), hold_days. What is open at the end makes no trade."""
-    by = Window.partitionBy("symbol").orderBy("dt")
+    units of 10^-digits weight), hold_days. What is open at the end makes no trade. Bars of one time
+    are taken by price, then weight, so that reruns agree."""
+    by = Window.partitionBy("symbol").orderBy("dt", "price", "weight")
     bars = weights.select("symbol", "dt", "price", F.row_number().over(by).cast("long").alias("bar"), F.round(F.col("weight") * 10.0**digits).cast("long").alias("vol"))
     sides = F.explode(F.array(F.struct(F.lit("long").alias("dir"), F.lit(1).alias("sign")), F.struct(F.lit("short").alias("dir"), F.lit(-1).alias("sign"))))
     s = bars.withColumn("x", sides).select("symbol", "x.dir", "bar", "dt", "price", F.greatest(F.col("vol") * F.col("x.sign"), F.lit(0)).alias("now"))
@@ -142,26 +147,76 @@ def aggregated(pairs: DataFrame) -> DataFrame:
     return g.select("symbol", "dir", "open_dt", "close_dt", "open_px", "close_px", "hold_bars", rnd(ratio(F.col("pw"), F.col("w")), 2).alias("profit_bp"), F.col("n").alias("count"))
 
 
+def _segmenter():
+    """Sent to the workers by value, so that they need not have this package."""
+
+    def micros(column) -> np.ndarray:
+        return (column.cast(pa.int32()) if pa.types.is_date32(column.type) else column).cast(pa.int64()).to_numpy()
+
+    def linked(opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """The least row linked to each. Least numbers pass along shared opens and closes until none changes,
+        each round from where the round before led."""
+        groups = []
+        for ends in (opens, closes):
+            order = np.argsort(ends, kind="stable")
+            new = np.diff(ends[order], prepend=-1) != 0
+            of = np.empty(len(ends), np.int64)
+            of[order] = np.cumsum(new) - 1
+            groups.append((order, np.flatnonzero(new), of))
+        label = np.arange(len(opens))
+        while True:
+            now = label
+            for order, start, of in groups:
+                now = np.minimum.reduceat(now[order], start)[of]
+            now = now[now]
+            if (now == label).all():
+                return label
+            label = now
+
+    def segments(batches):
+        """One row for each set of linked trades. ``batches`` are sorted by symbol, dir, open_dt; trades of a
+        side that lie wholly after all before are linked to none of those, so rows are held up to there."""
+        held, size, wait = [], 0, 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += len(batch)
+                if size < wait:
+                    continue
+            if not size:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            times = np.concatenate([micros(t[c]) for c in ("open_dt", "close_dt")])
+            rank = np.unique(times, return_inverse=True)[1].reshape(2, -1)
+            names = [t[c].combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in ("symbol", "dir")]
+            side = np.concatenate(([0], np.cumsum((np.diff(names[0]) != 0) | (np.diff(names[1]) != 0))))
+            opens, closes = rank + side * (len(times) + 1)
+            cuts = np.flatnonzero(opens[1:] > np.maximum.accumulate(closes)[:-1]) + 1
+            done = size if batch is None else int(cuts[-1]) if len(cuts) else 0
+            if done:
+                part = linked(opens[:done], closes[:done])
+                order = np.lexsort((closes[:done], opens[:done], -t["hold_bars"].to_numpy()[:done], part))
+                first = np.flatnonzero(np.diff(part[order], prepend=-1))
+                total = np.add.reduceat(t["count"].to_numpy()[:done][order], first)
+                out = t.take(pa.array(order[first]))
+                at = t.column_names.index("count")
+                yield from out.set_column(at, t.schema.field(at), pa.array(total)).to_batches(max_chunksize=10_000)
+            held = t.slice(done).to_batches()
+            size -= done
+            wait = 2 * size
+
+    return segments
+
+
 def holding_segments(agg: DataFrame) -> DataFrame:
     """Trades of a symbol and direction that share an open or a close, directly or through others,
-    become one: the longest stands for all, counts add up.
+    become one: the longest stands for all (of equal ones the earliest), counts add up.
 
-    Last-in-first-out trades lie apart or within each other. So the longest of those that are linked
-    spans them all: it is the longest both from its open and to its close. Every other trade belongs
-    to the innermost such span around it, which a running depth of spans tells.
+    Times of opens and closes may meet, as they do where a symbol has several bars of one time.
     """
-    by = ["symbol", "dir"]
-    last, first = F.max("close_dt").over(Window.partitionBy(*by, "open_dt")), F.min("open_dt").over(Window.partitionBy(*by, "close_dt"))
-    t = agg.withColumn("_spans", (F.col("close_dt") == last) & (F.col("open_dt") == first))
-    ends = t.where("_spans").select(*by, F.col("close_dt").alias("_at"), F.lit(-1).alias("_step"))
-    rows = t.withColumns({"_at": F.col("open_dt"), "_step": F.col("_spans").cast("int")}).unionByName(ends, allowMissingColumns=True)
-    # all that happens at one time counts: a side's opens and closes are at different bars
-    so_far = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_depth", F.sum("_step").over(so_far)).where("open_dt is not null")
-    nth = Window.partitionBy(*by, "_depth").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_nth", F.sum(F.col("_spans").cast("int")).over(nth))
-    rows = rows.withColumn("count", F.sum("count").over(Window.partitionBy(*by, "_depth", "_nth")))
-    return rows.where("_spans").select(*agg.columns)
+    parts = int(agg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = agg.repartition(parts, "symbol", "dir").sortWithinPartitions("symbol", "dir", "open_dt", "close_dt")
+    return rows.mapInArrow(_segmenter(), agg.schema)
 
 
 def key_trades(segments: DataFrame, top: int = 3) -> DataFrame:

@@ -121,6 +121,28 @@ def test_segments_and_key_trades(spark):
     assert sorted((r.profit_bp for r in keys if r.kind == "best"), reverse=True) == best and len(keys) == min(6, len(segments))
 
 
+def test_segments_where_bars_share_a_time(spark):
+    rows = random_rows(11, n=399)
+    rows = [(r[0], rows[i - i % 3][1], *r[2:]) for i, r in enumerate(rows)]  # three bars a time
+    found = [pairs.aggregated(pairs.trades(table(spark, some))).orderBy("symbol", "dir", "open_dt", "close_dt").collect() for some in (rows, rows[::-1])]
+    assert found[0] == found[1]  # whatever the order of the rows
+    for batch in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        segments = pairs.holding_segments(spark.createDataFrame(found[0])).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        left, want = list(found[0]), []
+        while left:  # a plain walk over shared opens and closes
+            group = [left.pop()]
+            for a in group:
+                near = [b for b in left if (a.symbol, a.dir) == (b.symbol, b.dir) and (a.open_dt == b.open_dt or a.close_dt == b.close_dt)]
+                left = [b for b in left if b not in near]
+                group += near
+            best = min(group, key=lambda r: (-r.hold_bars, r.open_dt, r.close_dt))
+            want.append((best.symbol, best.dir, best.open_dt, best.close_dt, best.profit_bp, sum(r["count"] for r in group)))
+        got = [(r.symbol, r.dir, r.open_dt, r.close_dt, r.profit_bp, r["count"]) for r in segments]
+        assert sorted(got) == sorted(want)
+
+
 def test_facade(spark, tmp_path):
     from barwright.plans.report import report
     from barwright.plans.result import Result, assert_same, dump_json, load_json, unwrap
