@@ -115,8 +115,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             made = [(d, s, window, used + k, 0) for k, (d, s) in enumerate(whole)]
             made += [(d, s, n, w, o) for (d, s), n, w, o in zip(rest, lengths, at, offset, strict=True)]
             made.sort()
-            for i in range(0, len(made), 1024):
-                some = made[i : i + 1024]
+            for i in range(0, len(made), 128):
+                some = made[i : i + 128]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([held[d][0] for d, *_ in some], pa.int64()),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.shared import small_batches, written
-from barwright.llm.tokens import forget
+from barwright.llm.tokens import batches, forget
 
 ORDERS = (3, 4, 5)
 PLACES = 1 << 18
@@ -26,6 +26,8 @@ SAMPLE_BYTES = 24 << 20
 #: A feature counts from so many sample texts on, and with so large a ratio.
 LEAST_TEXTS, LEAST_RATIO = 3, 0.4
 STEPS, RIDGE = 150, 1e-3
+#: Bytes of text whose features are held at a time; they take some 25 times that.
+AT_ONCE = 1 << 18
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -162,7 +164,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     def run(rows):
         forget()
         for batch in rows:
-            kept = [model.score(f) < threshold for f in features(batch.column(at).cast(pa.string()).to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            texts = batch.column(at).cast(pa.string())
+            for a, b in batches(texts, AT_ONCE):
+                kept = [model.score(f) < threshold for f in features(texts.slice(a, b - a).to_pylist())]
+                yield batch.slice(a, b - a).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -457,3 +457,21 @@ def test_distance_is_jensen_shannon(spark):
     kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
     got = spark.range(1).select(quality.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
     assert got == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2))
+
+
+def test_toxic_filter_holds_few_features_at_a_time():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    model = toxicity.Model(np.zeros(toxicity.PLACES, np.float32), -1.0)
+    df = SimpleNamespace(columns=["doc_id", "text"], schema=None, mapInArrow=lambda run, schema: run)
+    texts = ["".join(x) for x in np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz "), (2000, 2000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+    run = toxicity.without_toxic(df, model)
+    tracemalloc.start()
+    rows = sum(len(b) for b in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 32 << 20
