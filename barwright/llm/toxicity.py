@@ -7,6 +7,8 @@ other texts; features are scaled by it, and a logistic regression is fitted to t
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,17 +17,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.shared import small_batches, written
-from barwright.llm.tokens import batches, forget
+from barwright.llm.tokens import batches, forget, give_back
 
 ORDERS = (3, 4, 5)
 PLACES = 1 << 18
 #: Labelled rows to learn from, at most: those with the least hash of their doc_id.
 SAMPLE = 4000
-#: And so many bytes of their texts, in the same order; the driver holds some twelve times that at most.
+#: And so many bytes of their texts, in the same order; the driver holds some seven times that.
 SAMPLE_BYTES = 24 << 20
 #: A feature counts from so many sample texts on, and with so large a ratio.
 LEAST_TEXTS, LEAST_RATIO = 3, 0.4
 STEPS, RIDGE = 150, 1e-3
+#: Features of sample texts that a step of the fit takes at a time.
+BLOCK = 1 << 19
 #: Bytes of text whose features are held at a time; they take some 25 times that.
 AT_ONCE = 1 << 18
 
@@ -76,20 +80,32 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     names = np.flatnonzero(used)
     place = np.zeros(PLACES, np.int32)
     place[names] = np.arange(len(names))
-    kept = [place[r[used[r]]] for r in rows]
-    text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
-    column = np.concatenate(kept)
-    value = ratio[names].astype(np.float32)[column]
+    sizes = np.array([np.count_nonzero(used[r]) for r in rows])
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    column = np.empty(ends[-1], np.int32)
+    for r, a, b in zip(rows, ends, ends[1:], strict=False):
+        column[a:b] = place[r[used[r]]]
+    value = ratio[names].astype(np.float32)
+    # sums over texts and over features, some texts at a time: temporary arrays stay small
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)), [len(y)])))
+    blocks = list(itertools.pairwise(cuts.tolist()))
+
+    def by_text(x):
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), x[column[ends[a] : ends[b]]], b - a) for a, b in blocks])
+
+    def by_feature(x):
+        return sum(np.bincount(column[ends[a] : ends[b]], np.repeat(x[a:b], sizes[a:b]), len(names)) for a, b in blocks)
+
     # gradient steps with momentum, each feature's step shortened by its weight in the sample
     coef, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
-    size = np.bincount(column, value * value, len(names)) / len(y)
+    size = value.astype(np.float64) ** 2 * by_feature(np.ones(len(y))) / len(y)
     speed_c, speed_b = np.zeros(len(names)), 0.0
-    reach = np.bincount(text, np.abs(value), len(y)).max(initial=1.0)
+    reach = by_text(np.abs(value)).max(initial=1.0)
     rate = 4.0 / (np.sqrt(size.mean() + 1e-12) * reach)
     for _ in range(STEPS):
-        z = np.bincount(text, value * coef[column], len(y)) + bias
+        z = by_text(value * coef) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        speed_c = 0.9 * speed_c - rate * (np.bincount(column, value * error[text], len(names)) / (np.sqrt(size) + 1e-3) + RIDGE * coef)
+        speed_c = 0.9 * speed_c - rate * (value * by_feature(error) / (np.sqrt(size) + 1e-3) + RIDGE * coef)
         speed_b = 0.9 * speed_b - 0.5 * error.sum()
         coef += speed_c
         bias += speed_b
@@ -122,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in rows:
             for i in range(0, len(batch), 256):
                 some = batch.slice(i, 256)
-                found = [f.astype("<i4").tobytes() for f in features(some.column(1).to_pylist())]
+                # differences of sorted numbers pack well: the driver's JVM holds them several times
+                found = [zlib.compress(np.diff(np.sort(f), prepend=0).astype("<u4").tobytes(), 1) for f in features(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found, pa.binary())], names=["id", "y", "f"])
 
     # one text a doc_id; which ones fit into the bytes is decided before any text moves
@@ -135,9 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows = picked.mapInArrow(run, "id long, y int, f binary").collect()
     rows.sort(key=lambda r: r["id"])
     labels_ = np.array([r["y"] for r in rows], np.float64)
-    found = [np.frombuffer(r["f"], "<i4") for r in rows]
+    found = [np.cumsum(np.frombuffer(zlib.decompress(r["f"]), "<u4"), dtype=np.int32) for r in rows]
     del rows
-    return fit(found, labels_)
+    model = fit(found, labels_)
+    del found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

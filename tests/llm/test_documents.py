@@ -475,3 +475,16 @@ def test_toxic_filter_holds_few_features_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2000 and peak < 32 << 20
+
+
+def test_fit_makes_no_array_of_all_features():
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    rows = [np.unique(draw.integers(0, 1 << 14, 6000)) + (i % 2) * (1 << 13) for i in range(400)]
+    tracemalloc.start()
+    model = toxicity.fit(rows, np.arange(400) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = sum(len(r) for r in rows)
+    assert all((model.score(r) >= 0.5) == i % 2 for i, r in enumerate(rows)) and peak < 4 * total + (24 << 20)
