@@ -167,3 +167,36 @@ def test_candidates_are_the_rows_of_visited_buckets():
         want = [i for i in range(500) if any(codes[t, i] in probes[t, j] for t in range(len(codes)))]
         assert index.candidates(probes[:, j]).tolist() == want and len(want) < 500
         assert codes[0, j] == probes[0, j, 0]  # the own bucket comes first
+
+
+def test_a_known_bound_saves_visits(monkeypatch):
+    """What earlier rows gave bounds the search of later ones; compacting on the way changes nothing."""
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(6000, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    queries, rows = v[:40], v[40:]
+    scores = queries.astype(float) @ rows.astype(float).T
+    bound = np.sort(scores, axis=1)[:, -5]
+    part = neighbours.Part(neighbours.Hashes(16), np.arange(len(rows)), rows)
+    part.search(queries, 20)
+    alone, part.visited = part.visited, 0
+    which, ids, found = part.search(queries, 20, bound - 1e-9)
+    assert part.visited < 0.7 * alone
+    assert len(which) >= 0.9 * 5 * len(queries) and (found >= bound[which] - 1e-6).all()
+    monkeypatch.setattr(neighbours, "PRODUCTS", 500)
+    again = part.search(queries, 20, bound - 1e-9)
+    assert all(np.array_equal(x, y) for x, y in zip(again, (which, ids, found), strict=True))
+
+
+def test_nearest_in_waves(spark):
+    """Parts are searched in waves; later ones know what the earlier found."""
+    assert neighbours._waves(3) == [3] and neighbours._waves(20) == [2, 20] and neighbours._waves(100) == [1, 12, 100]
+    draw = np.random.default_rng(9)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(draw.normal(size=(2000, 12)) * draw.lognormal(0, 0.3, (2000, 1)))]
+    got = {}
+    for r in neighbours.nearest(vectors(spark, rows), part_bytes=200 * 12 * 8).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    want = exact(rows, 20)
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    assert sum(len(got[q].keys() & {v for v, _ in best}) for q, best in want.items()) >= 0.9 * 20 * len(want)
+    assert all(abs(got[q].get(v, s) - s) < 1e-9 for q, best in want.items() for v, s in best)
