@@ -55,9 +55,16 @@ def _refreshes(steps: int) -> list[int]:
     return out
 
 
-def _change() -> np.ndarray:
-    """What a confidence gains, by whether the prediction held and by the confidence."""
-    return np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int16)
+def _learnt(e: np.ndarray, x4: np.ndarray) -> np.ndarray:
+    """Predictions (entry and confidence) after the entry that came (times four): a right one gains
+    confidence up to 3, a wrong one loses some or, with none left, gives way to that entry."""
+    apart = (e ^ x4).view(np.uint16)  # the confidence, if right
+    doubtful, wrong = (e & 3) == 0, apart > 3
+    new = e + (apart < 3).view(np.int8)
+    new -= (wrong > doubtful).view(np.int8)
+    doubtful &= wrong
+    np.copyto(new, x4, where=doubtful)
+    return new
 
 
 class Prior:
@@ -132,10 +139,9 @@ class _Model:
         self.at1, self.at2, self.at_share = lane * self.k, n * self.k + lane * CONTEXTS, lane << 4
         self.table = np.zeros(n * (self.k + CONTEXTS), np.int16)  # order 1, then order 2
         self.where = np.zeros((2, n), np.int64)
-        self.b, self.older = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.b, self.older = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.counts = np.zeros(n * self.k, np.int32)
         self.met = np.zeros((3, n * 16), np.int32)  # by confidences: entries, hits of order 2, of order 1 alone
-        self.change = _change()
         self.refresh(0)
 
     def refresh(self, step: int, x: np.ndarray | None = None, pair: np.ndarray | None = None, hit2: np.ndarray | None = None, hit1: np.ndarray | None = None, decoding: bool = False) -> None:
@@ -170,28 +176,26 @@ class _Model:
         w1 = np.minimum(np.maximum((10 * hit1_ + 3 << SHARE_BITS) // (10 * met + 30), 1), 120 - w2)
         self.shares = (w2 << 8 | w1).astype(np.int32)
 
-    def predict(self) -> np.ndarray:
-        """What orders 1 and 2 foretell: entry and confidence, a row for each order."""
-        np.add(self.at1, self.b, out=self.where[0])
-        mixed = self.b * 30011
-        mixed += self.older
+    def places(self, x: np.ndarray, older: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Where orders 1 and 2 keep what follows the entries ``x`` and those before them."""
+        np.add(self.at1, x, out=out[..., 0, :])
+        mixed = x * np.int32(30011)
+        mixed += older * np.int32(40503)
         mixed >>= 3
         mixed &= CONTEXTS - 1
-        np.add(mixed, self.at2, out=self.where[1])
+        np.add(self.at2, mixed, out=out[..., 1, :])
+        return out
+
+    def predict(self) -> np.ndarray:
+        """What orders 1 and 2 foretell: entry and confidence, a row for each order."""
+        self.places(self.b, self.older, self.where)
         self.found = self.table[self.where]
         return self.found
 
     def learn(self, x: np.ndarray) -> None:
         """``x``: the entry that came (16 bits)."""
-        e = self.found
-        key = (e >> 2) == x
-        key = key.view(np.int8) << 2
-        key = key | (e & 3).astype(np.int8)
-        new = ((x << 2) - e) * (key == 0)
-        new += e
-        new += self.change[key]
-        self.table[self.where] = new
-        np.multiply(self.b, 40503, out=self.older)
+        self.table[self.where] = _learnt(self.found, x << 2)
+        self.older, self.b = self.b, self.older
         self.b[:] = x
 
 
@@ -285,19 +289,23 @@ def _code(prior: Prior, symbols: np.ndarray, last: int) -> list[np.ndarray]:
     """The words of each block. ``symbols``: steps x blocks, of which the last block has ``last``."""
     steps, n = symbols.shape
     model, out = _Model(prior, n), _Writer(n, steps)
-    entries = np.minimum(symbols, prior.wide - 1).astype(np.int16)
+    past = np.zeros((steps + 2, n), np.int16)  # before the first entry come two of number 0
+    entries = past[2:]
+    np.minimum(symbols, prior.wide - 1, out=entries, casting="unsafe")
+    where, found = np.zeros((ROWS, 2, n), np.int64), np.zeros((ROWS, 2, n), np.int16)
     kept: list[np.ndarray] = []
     for first, end in zip([0, *_refreshes(steps)], [*_refreshes(steps), steps], strict=True):
         pair, hit2, hit1 = np.zeros((end - first, n), np.int8), np.zeros((end - first, n), bool), np.zeros((end - first, n), bool)
         for a in range(first, end, ROWS):
             out.make_room()
             part = entries[a : min(a + ROWS, end)]
-            found = np.zeros((2, *part.shape), np.int16)
-            for i, x in enumerate(part):
-                found[:, i] = model.predict()
-                model.learn(x)
+            model.places(past[a + 1 : a + 1 + len(part)].astype(np.int32), past[a : a + len(part)].astype(np.int32), where[: len(part)])
+            for at, e, x4 in zip(where, found, part << 2, strict=False):
+                model.table.take(at, out=e, mode="clip")
+                model.table[at] = _learnt(e, x4)
+            e1, e2 = found[: len(part), 0], found[: len(part), 1]
             rows = slice(a - first, a - first + len(part))
-            start, size, pair[rows], hit2[rows], hit1[rows] = _intervals(model, part, found[0], found[1])
+            start, size, pair[rows], hit2[rows], hit1[rows] = _intervals(model, part, e1, e2)
             start, size = start.astype(np.uint64), size.astype(np.uint64)
             rare_at, rare = None, []
             if prior.rest is not None:

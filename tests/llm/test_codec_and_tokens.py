@@ -192,3 +192,24 @@ def test_best_fit_decreasing_against_a_plain_search(lengths):
 def test_empty_tables(documents):
     assert token_store.read_ids(token_store.write_ids(documents([]), BYTES)).count() == 0
     assert packing.pack(documents([]), WORDS).count() == 0
+
+
+def test_a_prediction_learns():
+    """Every entry and confidence, against the rule spelled out."""
+    e, x = (a.reshape(-1).astype(np.int16) for a in np.meshgrid(np.arange(2048)[::7], np.arange(512)))
+    e = np.concatenate((e, x << 2 | e & 3))  # right ones too
+    x = np.concatenate((x, x))
+    want = [(p << 2 | min(c + 1, 3)) if p == y else (p << 2 | c - 1) if c else y << 2 for p, c, y in zip((e >> 2).tolist(), (e & 3).tolist(), x.tolist(), strict=True)]
+    assert range_codec._learnt(e, x << 2).tolist() == want
+
+
+def test_contexts_of_many_steps_are_those_of_single_ones():
+    """The coder finds contexts ahead, the decoder one by one."""
+    model = range_codec._Model(range_codec.Prior.of(np.arange(600, dtype=np.uint32)), 3)
+    x = np.random.default_rng(4).integers(0, 512, (70, 3)).astype(np.int16)
+    past = np.concatenate((np.zeros((2, 3), np.int16), x)).astype(np.int32)
+    ahead = model.places(past[1:-1], past[:-2], np.zeros((70, 2, 3), np.int64))
+    for now, then in zip(x, ahead, strict=True):
+        model.predict()
+        assert np.array_equal(model.where, then)
+        model.learn(now)
