@@ -2,7 +2,7 @@
 
 A file holds a run of documents:
 
-    "ACM2" | documents (u32) | end id (u32) | blocks (u32)
+    "ACM3" | documents (u32) | end id (u32) | blocks (u32)
     size of directory (u32) | directory, deflated: doc_ids (i64 each), whether null (u8 each), ids (u64 each)
     size of prior (u32) | what the blocks' models start from
     for each block: size (u32), block of :mod:`range_codec`
@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from barwright.llm import range_codec
 from barwright.llm.shared import filesystem, put_file, workspace, written
-from barwright.llm.tokens import batches, encoder, give_back
+from barwright.llm.tokens import batches, encoder, forget, give_back
 
-_MAGIC = b"ACM2"
+_MAGIC = b"ACM3"
 #: Ids in a file, about: what a task holds at once, and as many as are coded in step. A longer document
 #: has a file of its own.
 FILE_IDS = range_codec.BLOCK * range_codec.LANES
-#: Bytes of text that a task encodes, about.
-PART_BYTES = 30 << 20
+#: Bytes of text that a task encodes, about: at some 2.4 an id, most tasks write one file.
+PART_BYTES = 27 << 20
 
 _LISTED = "part int, nr int, path string, first_doc long, n_docs long, n_ids long, n_bytes long"
 
@@ -134,10 +134,10 @@ def read_ids(files: DataFrame) -> DataFrame:
     (little-endian unsigned 32-bit). Some files to a task, whole; a damaged one raises."""
     order = Window.orderBy("part", "nr").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    n = max(1, files.count())  # a row for each file, of some 8 million ids
+    n = max(1, files.count())  # a row for each file, of some 11 million ids
 
     def decode(rows):
-        give_back()
+        forget()  # a worker that wrote files holds their encoder
         for batch in rows:
             for path, size, base in zip(*(batch.column(c).to_pylist() for c in ("path", "n_bytes", "base")), strict=True):
                 store, at = filesystem(path)
